@@ -1,0 +1,16 @@
+"""Column expressions without side effects."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, also where ``body`` uses it inside other lambdas.
+
+    A plain column reference would be inlined into the lambda by the optimizer and evaluated for every element.
+    """
+    return F.transform(F.array(value), body)[0]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import bind
 from ledgerlens.functions.text import canonical_value, checked_value
 from ledgerlens.model import ANNOTATION_DDL, HEADER_FIELDS, LINE_FIELDS, schema
-from ledgerlens.operators.evidence import locate, search_lines
+from ledgerlens.operators.evidence import locate
 
 HEADER_COLUMNS = ["vendor_name", "vendor_tax_id", "invoice_number", "invoice_date", "due_date", "po_number",
                   "payment_terms", "bank_name", "bank_account", "bank_change_notice", "total"]
@@ -51,24 +52,21 @@ def rejects(extractions: DataFrame) -> DataFrame:
     return extractions.filter(F.col("field_name").isin(list(types)) & bad).select("doc_id", "field_name", "line_no", "field_value")
 
 
-def annotation_requests(annotation: Column) -> Column:
-    """array<struct<field_name, line_no, value, row_key>>: every header field, then every field of each line item."""
-    none = F.lit(None).cast("int")
-    text = F.lit(None).cast("string")
+def annotation_groups(annotation: Column) -> Column:
+    """Values to look up: the header fields as one group, and each line item as a group under its row key."""
 
-    def request(field: str, line: Column, value: Column, key: Column) -> Column:
-        return F.struct(F.lit(field).alias("field_name"), line.alias("line_no"), value.alias("value"), key.alias("row_key"))
+    def field(name: str, line: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("field_name"), line.alias("line_no"), value.alias("value"))
 
-    header = F.array(*[request(f, none, annotation[f], text) for f in HEADER_FIELDS])
+    header = F.struct(
+        F.lit(None).cast("string").alias("row_key"),
+        F.array(*[field(f, F.lit(None).cast("int"), annotation[f]) for f in HEADER_FIELDS]).alias("fields"))
     items = F.transform(
         F.coalesce(annotation["line_items"], F.array()),
-        lambda item, n: F.array(*[
-            request(f, (n + 1).cast("int"), item[f],
-                    F.when(item["sku"] != "", item["sku"]).otherwise(item["description"]))
-            for f in LINE_FIELDS
-        ]),
-    )
-    return F.concat(header, F.flatten(items))
+        lambda item, n: F.struct(
+            F.when(item["sku"] != "", item["sku"]).otherwise(item["description"]).alias("row_key"),
+            F.array(*[field(f, (n + 1).cast("int"), item[f]) for f in LINE_FIELDS]).alias("fields")))
+    return F.concat(F.array(header), items)
 
 
 def parsed_annotation(c: Column) -> Column:
@@ -77,8 +75,11 @@ def parsed_annotation(c: Column) -> Column:
 
 def flatten_annotation(responses: DataFrame) -> DataFrame:
     """Field rows of each response, without evidence."""
-    return responses.select("doc_id", F.explode(annotation_requests(parsed_annotation(F.col("document_annotation")))).alias("r")).select(
-        "doc_id", "r.field_name", "r.line_no", canonical_value(F.col("r.field_name"), F.col("r.value")).alias("field_value"), "r.row_key"
+    groups = bind(parsed_annotation(F.col("document_annotation")), annotation_groups)
+    return (
+        responses.select("doc_id", F.explode(groups).alias("g"))
+        .select("doc_id", "g.row_key", F.explode("g.fields").alias("r"))
+        .select("doc_id", "r.field_name", "r.line_no", canonical_value(F.col("r.field_name"), F.col("r.value")).alias("field_value"), "row_key")
     )
 
 
@@ -88,9 +89,9 @@ def extract(responses: DataFrame, extracted_at: Column | None = None) -> DataFra
     Reads each response once and shuffles nothing, because pages and annotation are in the same row.
     """
     located = (
-        responses.withColumn("requests", annotation_requests(parsed_annotation(F.col("document_annotation"))))
-        .withColumn("lines", search_lines(F.col("pages")))
-        .select("doc_id", "model", F.explode(locate(F.col("requests"), F.col("pages"), F.col("lines"))).alias("r"))
+        responses.select("doc_id", "model", F.explode(
+            bind(parsed_annotation(F.col("document_annotation")), lambda a: locate(annotation_groups(a), F.col("pages")))
+        ).alias("r"))
     )
     return located.select(
         "doc_id", "r.field_name", "r.line_no", canonical_value(F.col("r.field_name"), F.col("r.value")).alias("field_value"),

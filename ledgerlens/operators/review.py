@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import bind
 from ledgerlens.functions.layout import inline_tables
 from ledgerlens.functions.text import strip
 from ledgerlens.model import MIN_CONFIDENCE
@@ -76,16 +77,12 @@ def low_spans(p: Column, threshold: float) -> Column:
         lambda w: w["word"].rlike(CLEAN_WORD) & w["word"].rlike(HAS_WORD_CHARACTER)
         & (F.substring(md, w["start_index"] + 1, F.length(w["word"])) == w["word"]),
     )
-    # Placeholders are found once per page (the one-element array carries them into the filter).
-    free = F.element_at(
-        F.transform(
-            F.array(_placeholders(md)),
-            lambda spans: F.filter(
-                uncertain,
-                lambda w: ~F.exists(spans, lambda s: (s["s"] < w["start_index"] + F.length(w["word"])) & (w["start_index"] < s["e"])),
-            ),
+    free = bind(
+        _placeholders(md),
+        lambda spans: F.filter(
+            uncertain,
+            lambda w: ~F.exists(spans, lambda s: (s["s"] < w["start_index"] + F.length(w["word"])) & (w["start_index"] < s["e"])),
         ),
-        1,
     )
     item = "struct<start_index:int,end_index:int,word:string,confidence:double>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("kept"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import bind
 from ledgerlens.model import ERP_SCHEMAS, PRICE_PER_PAGE, TABLE_COMMENTS
 
 
@@ -40,15 +41,20 @@ def rule_rollup(exceptions: DataFrame) -> DataFrame:
         F.sum(F.coalesce("amount_at_risk", F.lit(0).cast("decimal(12,2)"))).cast("decimal(24,2)").alias("amount"))
 
 
+def mean(values: Column, places: int) -> Column:
+    """Mean of an array of doubles, summed and rounded as decimals so that it does not depend on the order; NULL if empty."""
+    total = F.aggregate(values, F.lit(0).cast("decimal(24,6)"), lambda a, x: (a + x.cast("decimal(20,6)")).cast("decimal(24,6)"))
+    return F.round(total / F.nullif(F.size(values), F.lit(0)).cast("decimal(10,0)"), places).cast("double")
+
+
 def page_scores(words: Column, tables: Column) -> Column:
     """struct(average, minimum) of the confidence of all words of a page and its tables; NULLs when it has none."""
     def confidences(w: Column) -> Column:
         return F.transform(F.coalesce(w, F.array()), lambda x: x["confidence"])
 
     of_tables = F.flatten(F.transform(F.coalesce(tables, F.array()), lambda t: confidences(t["word_confidence_scores"])))
-    both = F.concat(confidences(words), of_tables)
-    mean = F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(both), F.lit(0))
-    return F.struct(F.round(mean, 4).alias("average"), F.array_min(both).alias("minimum"))
+    return bind(F.concat(confidences(words), of_tables),
+                lambda both: F.struct(mean(both, 4).alias("average"), F.array_min(both).alias("minimum")))
 
 
 def page_confidence(responses: DataFrame) -> DataFrame:
@@ -62,12 +68,11 @@ def page_confidence(responses: DataFrame) -> DataFrame:
 def document_metrics(responses: DataFrame) -> DataFrame:
     """Pages, mean of the page means, blocks with a box, and reading cost of each document, from its own row."""
     scores = F.filter(F.transform("pages", lambda p: p["confidence_scores"]["average_page_confidence_score"]), lambda s: s.isNotNull())
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0))
     blocks = F.aggregate(
         F.transform("pages", lambda p: F.size(F.filter(F.coalesce(p["blocks"], F.array()), lambda b: b["top_left_x"].isNotNull()))),
         F.lit(0), lambda a, x: a + x)
     return responses.select(
-        "doc_id", F.size("pages").alias("page_count"), F.round(mean, 6).alias("avg_confidence"), blocks.alias("block_count"),
+        "doc_id", F.size("pages").alias("page_count"), mean(scores, 6).alias("avg_confidence"), blocks.alias("block_count"),
         F.round(F.size("pages") * F.lit(PRICE_PER_PAGE), 4).alias("cost"))
 
 

@@ -179,8 +179,8 @@ tbl AS (
   SELECT pl.k, pl.p, '| Item | Description | Qty | Price |' || chr(10) || '|---|---|---|---|'
     || coalesce(string_agg(chr(10) || item_rows.line, '' ORDER BY i), '') AS content, count(i) AS n_items
   FROM pl LEFT JOIN item_rows USING (k, p) WHERE j = 1 AND m > 2 GROUP BY pl.k, pl.p),
-info AS (SELECT k, 'Invoice No. INV-' || k AS l0, 'Date: ' || strftime(day, CASE k % 4 WHEN 0 THEN '%m/%d/%Y' WHEN 1 THEN '%B %d, %Y'
-    WHEN 2 THEN '%Y-%m-%d' ELSE '%b %d, %Y' END) AS l1, 'Total due: ' || format('{{:,.2f}}', CAST(total AS DOUBLE)) AS l2 FROM src),
+info AS (SELECT k, 'Invoice No. INV-' || k AS l0, 'Date: ' || CASE k % 4 WHEN 0 THEN strftime(day, '%m/%d/%Y') WHEN 1 THEN strftime(day, '%B %d, %Y')
+    WHEN 2 THEN strftime(day, '%Y-%m-%d') ELSE strftime(day, '%b %d, %Y') END AS l1, 'Total due: ' || format('{{:,.2f}}', CAST(total AS DOUBLE)) AS l2 FROM src),
 blk AS (
   SELECT k, 0 AS p, -1 AS b, 'text' AS type, l0 || chr(10) || l1 || chr(10) || l2 AS content, 55 AS y0, 220 AS y1 FROM info
   UNION ALL
@@ -249,6 +249,14 @@ variants AS (
       WHEN field_name = 'invoice_date' THEN ['', '', '', ''] ELSE [''] END, 1) AS pref FROM vals),
 want AS (SELECT k, id, lower(v) AS needle, pref, row_key FROM variants)
 """ + _LOOKUP
+
+
+def _mean(c: str, places: int) -> str:
+    """Mean of a column rounded half up in whole numbers, so that ties do not depend on floating point."""
+    unit = 10 ** places
+    return f"(CAST(sum(CAST(round({c} * 1000000) AS HUGEINT)) AS HUGEINT) * {2 * unit} + count({c}) * 1000000) // (2 * nullif(count({c}), 0) * 1000000) / {unit}.0::DOUBLE"
+
+
 _BOX = "x0, top AS y0, x1, bottom AS y1"
 
 _RULE = "SELECT doc_id, vendor_id, invoice_number, rule_code, detail, amount_at_risk, priority, action, evidence_field FROM exc WHERE rule_code = '{}'"
@@ -467,8 +475,8 @@ SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN
     "A3_accuracy": _inv("SELECT count(DISTINCT doc_id) AS docs, count(*) AS fields, round(count(*) FILTER (ok) / greatest(count(*), 1), 6) AS field_accuracy, (SELECT count(DISTINCT doc_id) FROM exc WHERE rule_code = 'LOW_CONFIDENCE') AS review_docs FROM scored", _SCORED),
     "A3_review_documents": _inv("SELECT DISTINCT doc_id FROM exc WHERE rule_code = 'LOW_CONFIDENCE'"),
     "A4_planted_summary": _inv("SELECT count(*) FILTER (status = 'ok') AS planted_ok, count(*) AS planted_total FROM per_doc", _EXPECTED),
-    "A5_page_confidence": _pag("SELECT 'D' || pg.k AS doc_id, CAST(pg.p + 1 AS INTEGER) AS page, round(avg(c), 4) AS avg_confidence, min(c) AS min_confidence FROM pg LEFT JOIN (SELECT k, p, c FROM wd UNION ALL SELECT k, p, c FROM twd) USING (k, p) GROUP BY pg.k, pg.p"),
-    "A6_document_metrics": _pag("SELECT 'D' || k AS doc_id, CAST(count(*) AS INTEGER) AS page_count, round(avg(a), 6) AS avg_confidence, CAST(sum(n) AS INTEGER) AS block_count, round(count(*) * 0.004, 4) AS cost FROM (SELECT pg.k, pg.p, round(avg(c), 4) AS a FROM pg LEFT JOIN (SELECT k, p, c FROM wd UNION ALL SELECT k, p, c FROM twd) USING (k, p) GROUP BY pg.k, pg.p) JOIN (SELECT k, p, count(*) AS n FROM blk GROUP BY k, p) USING (k, p) GROUP BY k"),
+    "A5_page_confidence": _pag("SELECT 'D' || pg.k AS doc_id, CAST(pg.p + 1 AS INTEGER) AS page, " + _mean("c", 4) + " AS avg_confidence, min(c) AS min_confidence FROM pg LEFT JOIN (SELECT k, p, c FROM wd UNION ALL SELECT k, p, c FROM twd) USING (k, p) GROUP BY pg.k, pg.p"),
+    "A6_document_metrics": _pag("SELECT 'D' || k AS doc_id, CAST(count(*) AS INTEGER) AS page_count, " + _mean("a", 6) + " AS avg_confidence, CAST(sum(n) AS INTEGER) AS block_count, CAST(round(count(*) * 0.004, 4) AS DOUBLE) AS cost FROM (SELECT pg.k, pg.p, " + _mean("c", 4) + " AS a FROM pg LEFT JOIN (SELECT k, p, c FROM wd UNION ALL SELECT k, p, c FROM twd) USING (k, p) GROUP BY pg.k, pg.p) JOIN (SELECT k, p, count(*) AS n FROM blk GROUP BY k, p) USING (k, p) GROUP BY k"),
     "A7_block_types": _pag("SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, string_agg(type, ',' ORDER BY type) AS block_types FROM (SELECT DISTINCT k, p, type FROM blk) GROUP BY k, p"),
     "A8_row_counts": _inv(_COUNTS),
     # ---- first, best, evidence

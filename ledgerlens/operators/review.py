@@ -84,18 +84,23 @@ def low_spans(p: Column, threshold: float) -> Column:
             lambda w: ~F.exists(spans, lambda s: (s["s"] < w["start_index"] + F.length(w["word"])) & (w["start_index"] < s["e"])),
         ),
     )
-    item = "struct<start_index:int,end_index:int,word:string,confidence:double>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("kept"))
-
-    def step(acc: Column, w: Column) -> Column:
-        end = w["start_index"] + F.length(w["word"])
-        row = F.struct(w["start_index"].alias("start_index"), end.alias("end_index"), w["word"].alias("word"),
-                       w["confidence"].alias("confidence"))
-        return F.when(w["start_index"] < acc["at"], acc).otherwise(
-            F.struct(end.alias("at"), F.array_append(acc["kept"], row).alias("kept"))
-        )
+    spans = F.transform(F.sort_array(free), lambda w: F.struct(
+        w["start_index"].alias("start_index"), (w["start_index"] + F.length(w["word"])).alias("end_index"), w["word"].alias("word"),
+        w["confidence"].alias("confidence")))
+    # Words rarely overlap; only a page where some do is swept from left to right.
+    return bind(spans, lambda all_: F.when(
+        F.exists(F.zip_with(all_, F.slice(all_, F.lit(2), F.greatest(F.size(all_), F.lit(1))), lambda a, b: b["start_index"] < a["end_index"]), lambda x: x),
+        _without_overlaps(all_)).otherwise(all_))
+
 
-    return F.aggregate(F.sort_array(free), start, step, lambda acc: acc["kept"])
+def _without_overlaps(spans: Column) -> Column:
+    """Spans from left to right, without those that start before the last kept one ends."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_index:int,end_index:int,word:string,confidence:double>>").alias("kept"))
+    return F.aggregate(
+        spans, start,
+        lambda acc, s: F.when(s["start_index"] < acc["at"], acc).otherwise(
+            F.struct(s["end_index"].alias("at"), F.array_append(acc["kept"], s).alias("kept"))),
+        lambda acc: acc["kept"])
 
 
 def low_confidence_spans(responses: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
@@ -111,14 +116,15 @@ def marked_markdown(responses: DataFrame, threshold: float = MIN_CONFIDENCE) ->
     """Page text with numbered marks around the uncertain words and with tables inlined, and the marks' confidences."""
     pages = responses.select("doc_id", F.explode("pages").alias("p")).withColumn("spans", low_spans(F.col("p"), threshold))
     md = F.col("p.markdown")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("out"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end_index"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(md, acc["at"] + 1, s["start_index"] - acc["at"])
-        mark = F.concat(F.lit(OPEN), acc["n"].cast("string"), F.lit(SEP), s["word"], F.lit(CLOSE))
-        return F.struct(s["end_index"].alias("at"), (acc["n"] + 1).alias("n"), F.concat(acc["out"], before, mark).alias("out"))
+    def piece(x: Column, n: Column) -> Column:
+        span, end = x["spans"], x["end"]
+        before = F.substring(md, end + 1, F.coalesce(span["start_index"], F.length(md)) - end)
+        mark = F.concat(F.lit(OPEN), n.cast("string"), F.lit(SEP), span["word"], F.lit(CLOSE))
+        return F.concat(before, F.coalesce(mark, F.lit("")))
 
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(md, acc["at"] + 1)))
+    text = F.array_join(F.transform(F.arrays_zip("spans", ends.alias("end")), piece), "")
     return pages.select(
         "doc_id", (F.col("p.index") + 1).alias("page"), inline_tables(text, F.col("p.tables")).alias("markdown"),
         F.transform("spans", lambda s: s["confidence"]).alias("marks"),

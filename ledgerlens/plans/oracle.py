@@ -464,7 +464,7 @@ SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN
     "J14_candidate_orders": _inv("SELECT vendor_id, po_number FROM purchase_orders WHERE vendor_id IN (SELECT vendor_id FROM exc WHERE rule_code = 'NO_PO')"),
     "J15_score_fields": _inv("SELECT * FROM scored", _SCORED),
     "J16_score_queue": _inv("SELECT * FROM per_doc", _EXPECTED),
-    "J17_expected_exceptions": _inv("SELECT * FROM expected", _EXPECTED),
+    "J17_expected_exceptions": _inv("SELECT doc_id, rule_code, CAST(amount AS DECIMAL(24,2)) AS amount FROM expected", _EXPECTED),
     "J18_other_issues": _inv("SELECT a.doc_id, a.rule_code, a.evidence_field, a.detail, o.rule_code AS other_rule, r.label AS other_label, o.n - CASE WHEN o.rule_code = a.rule_code THEN 1 ELSE 0 END AS n_others FROM exc a JOIN (SELECT doc_id, rule_code, count(*) AS n FROM exc GROUP BY ALL) o USING (doc_id) JOIN rules r ON r.rule_code = o.rule_code WHERE o.n > CASE WHEN o.rule_code = a.rule_code THEN 1 ELSE 0 END"),
     "J19_caught_by_review": _inv("SELECT doc_id, field_name, line_no, expected, extracted, doc_id IN (SELECT doc_id FROM exc WHERE rule_code = 'LOW_CONFIDENCE') AS caught FROM scored WHERE NOT ok", _SCORED),
     "J20_rule_labels": _inv("SELECT doc_id, rule_code, evidence_field, detail, label, how, tone, CASE exc.priority WHEN 1 THEN '1 · Critical' WHEN 2 THEN '2 · High' WHEN 3 THEN '3 · Medium' WHEN 4 THEN 'Opportunity' ELSE 'Review' END AS priority_name FROM exc JOIN rules USING (rule_code)"),
@@ -485,6 +485,13 @@ SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN
     "W1_extract": _pag(f"SELECT doc_id, field_name, line_no, value AS field_value, confidence, CAST(p + 1 AS INTEGER) AS page, {_BOX} FROM vals LEFT JOIN placed ON placed.k = vals.k AND id = field_name || coalesce(':' || line_no, '')", _FIELDS_WANTED),
     "W3_least_certain": _pag("SELECT 'D' || k AS doc_id, CAST(r AS INTEGER) AS rank, CAST(p + 1 AS INTEGER) AS page, w AS word, c AS confidence, '…' || replace(substr(markdown, f + 1, s + length(w) + 50 - f), chr(10), ' ') || '…' AS context FROM (SELECT wd.*, markdown, greatest(s - 50, 0) AS f, row_number() OVER (PARTITION BY k ORDER BY c, p, s) AS r FROM wd JOIN md USING (k, p) WHERE regexp_matches(w, '[A-Za-z0-9]') AND regexp_full_match(w, '[\\p{L}\\p{N}_$%.,;:''\"()/&-]+')) WHERE r <= 15"),
     "W4_low_confidence_spans": _pag("SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY k, p ORDER BY s) - 1 AS INTEGER) AS mark, s AS start_index, CAST(s + length(w) AS INTEGER) AS end_index, w AS word, round(c, 4) AS confidence FROM wd JOIN md USING (k, p) WHERE c < 0.85 AND regexp_full_match(w, '[\\p{L}\\p{N}_$%.,;:''\"()/&-]+') AND substr(markdown, s + 1, length(w)) = w"),
+    "W4_marked_markdown": _pag("""
+, marks AS (SELECT k, p, s, w, row_number() OVER (PARTITION BY k, p ORDER BY s) - 1 AS n, lag(s + length(w), 1, 0) OVER (PARTITION BY k, p ORDER BY s) AS prev
+  FROM wd JOIN md USING (k, p) WHERE c < 0.85 AND regexp_full_match(w, '[\\p{L}\\p{N}_$%.,;:''"()/&-]+')),
+marked AS (SELECT md.k, md.p, count(n) AS n_marks, coalesce(string_agg(substr(markdown, prev + 1, s - prev) || chr(57344) || n || chr(57345) || w || chr(57346), '' ORDER BY s), '')
+    || substr(any_value(markdown), coalesce(max(s + length(w)), 0) + 1) AS t FROM md LEFT JOIN marks USING (k, p) GROUP BY md.k, md.p)
+SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, replace(t, '[tbl-' || p || '.md](tbl-' || p || '.md)', coalesce(content, '')) AS markdown,
+  CAST(n_marks AS INTEGER) AS n_marks FROM marked LEFT JOIN tbl USING (k, p)"""),
     "W5_first_by_key": _inv("SELECT doc_id, rule_code, min(evidence_field || '/' || detail) AS shown FROM exc GROUP BY ALL"),
     # ---- order
     "O1_ranked_queue": _inv(f"SELECT {_queue_columns('q.')}, vendor_name, source, file_name FROM ({_QUEUE}) q"),

@@ -21,6 +21,8 @@ def build_session(app: str = "ledgerlens", master: str | None = None, shuffle_pa
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", "16g")  # in local mode the driver is the only executor
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()

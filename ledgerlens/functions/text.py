@@ -12,9 +12,16 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 SAFE_NAME_LENGTH = 100
 
 
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Without leading and trailing whitespace of any kind (SQL ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without leading and trailing whitespace of any kind (SQL ``trim`` without characters removes spaces only)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def digits(c: Column) -> Column:

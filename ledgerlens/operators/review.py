@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import bind
 from ledgerlens.functions.layout import inline_tables
-from ledgerlens.functions.text import strip
+from ledgerlens.functions.text import WHITESPACE, strip
 from ledgerlens.model import MIN_CONFIDENCE
 
 # ---- fixed values: what counts as a clean word, and placeholders that must stay whole ------------------------------
@@ -69,7 +69,7 @@ def low_spans(p: Column, threshold: float) -> Column:
         F.transform(
             F.filter(page_words(p), lambda w: w["confidence"] < threshold),
             lambda w: F.struct(
-                (w["start_index"] + F.length(w["text"]) - F.length(F.regexp_replace(w["text"], r"(?U)^\s+", ""))).alias("start_index"),
+                (w["start_index"] + F.length(w["text"]) - F.length(F.ltrim(w["text"], F.lit(WHITESPACE)))).alias("start_index"),
                 strip(w["text"]).alias("word"),
                 F.round(w["confidence"], 4).alias("confidence"),
             ),

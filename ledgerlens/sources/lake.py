@@ -10,11 +10,11 @@ from ledgerlens.functions.text import file_problem
 from ledgerlens.model import DOCUMENT_SCHEMAS, ERP_SCHEMAS, RESPONSE_DDL, TABLE_COMMENTS, schema
 
 
-def read_erp(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, DataFrame]:
-    """The five enterprise extracts with their declared types; a bad cell is an error."""
+def read_erp(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The enterprise extracts (all five unless named) with their declared types; a bad cell is an error."""
     return {
-        name: spark.read.schema(schema(ddl)).csv(f"{folder}/{name}{suffix}", header=True, mode="FAILFAST", enforceSchema=True)
-        for name, ddl in ERP_SCHEMAS.items()
+        name: spark.read.schema(schema(ERP_SCHEMAS[name])).csv(f"{folder}/{name}.csv", header=True, mode="FAILFAST")
+        for name in names or ERP_SCHEMAS
     }
 
 

@@ -12,6 +12,7 @@ from ledgerlens.functions.text import code_key, label_text, same_text
 from ledgerlens.model import HEADER_FIELDS, PAYMENT_DAYS
 from ledgerlens.operators.eav import header_text, line_text
 from ledgerlens.operators.queue import first_by_key
+from ledgerlens.session import stage
 
 LISTED_ORDERS = 1000
 
@@ -53,11 +54,11 @@ def _text(name: str) -> Column:
 def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
     """Rows (what, invoice, record, source, ok) in display order for each exception.
 
-    Set-based: one join of the queue to its invoices' text, then each rule's rows to their record table. Where a key
-    has several records the first by a total order is shown.
+    Set-based: one join of the queue to its invoices' text, written because every rule reads it, then each rule's rows
+    to their record table. Where a key has several records the first by a total order is shown.
     """
     own = exceptions.withColumn("line_no", F.regexp_extract("evidence_field", r"^line:(\d+):", 1).try_cast("int"))
-    e = own.drop("invoice_number").join(header_text(t["extractions"], HEADER_FIELDS), "doc_id", "left")
+    e = stage(own.drop("invoice_number").join(header_text(t["extractions"], HEADER_FIELDS), "doc_id", "left"), "queue_fields")
 
     def of(rule: str) -> DataFrame:
         return e.filter(F.col("rule_code") == rule)

@@ -92,8 +92,8 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False)))
 
     lines = line_text(t["extractions"])
-    with_line = e.filter(F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT")).join(lines, ["doc_id", "line_no"], "left").withColumn(
-        "po_key", code_key(F.col("po_number")))
+    on_lines = e.filter(F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT"))
+    with_line = stage(on_lines.join(lines, ["doc_id", "line_no"], "left").withColumn("po_key", code_key(F.col("po_number"))), "queue_lines")
     item = F.concat("sku", F.lit(" "), F.coalesce("description", F.lit("")))
     agreed = first_by_key(
         t["po_lines"].select(F.col("po_number").alias("po_key"), "sku", F.col("description").alias("r_description"),

@@ -30,9 +30,10 @@ def numbered(lines: DataFrame, key: str, order: list[str], hot_rows: int = HOT_O
     """
     counts = lines.groupBy(key).count()
     hot = counts.filter(F.col("count") > hot_rows).select(key)
-    cold = lines.join(hot, key, "left_anti").withColumn("line_no", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     if hot.isEmpty():
-        return cold
+        return lines.withColumn("line_no", place)
+    cold = lines.join(hot, key, "left_anti").withColumn("line_no", place)
     ranged = stage(
         lines.join(hot, key, "left_semi").repartitionByRange(key, *order).withColumn("range_id", F.spark_partition_id()),
         "hot-order-lines",

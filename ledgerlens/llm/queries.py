@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import packing, simhash, toxicity
 from ledgerlens.llm.common import table
 
 
@@ -14,5 +14,25 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, budget=4)
 
 
-LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(), size=2048, end_id=1)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+    return found.select("doc_id", "held_out", "score", "predicted", "n_terms")
+
+
+LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
+}
 LLM_SQL: dict[str, str] = {}

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing, simhash, toxicity
+from ledgerlens.llm import chat, knn, language, licenses, oracle, packing, simhash, toxicity, urls
 from ledgerlens.llm.common import table
+from ledgerlens.session import stage
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, budget=4)
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public vocabulary file lies on this machine."""
     import public_tokenizers
@@ -30,9 +35,35 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_terms")
 
 
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    added = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.conversations(chat.linear(rows)))
+
+
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = stage(knn.integers(table(spark, folder, "embeddings")), "knn-integers")
+    return knn.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
+    "op6_top_k": op6_top_k,
+    "op7_urls": op7_urls,
+    "op10_licenses": op10_licenses,
 }
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {"op4_chat": oracle.OP4, "op6_top_k": oracle.OP6, "op10_licenses": oracle.OP10}

@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Statistics cover everything: document frequencies come from all documents, and the terms that the vectors are made of
-are chosen by a chi-square test over all labelled documents that may be learned from. The index holds a bounded sample
-of labelled examples (``examples`` of each label), so it fits in every task. Examples are stored in blocks; for every
+Document frequencies come from all documents. The terms that the vectors are made of are chosen by a chi-square test over
+a bounded sample of the labelled documents that may be learned from (``learned`` of each label), and the index holds a
+bounded part of these (``examples`` of each label), so both fit in every task. Examples are stored in blocks; for every
 term a block keeps its largest weight, which bounds the cosine of all its examples. A query reads blocks in the order
 of their bounds and stops when no further block can hold a nearer example, so its neighbours are exact.
 
@@ -51,42 +51,34 @@ def terms(text: str | None) -> dict[str, int]:
     return found
 
 
-def term_statistics(docs: DataFrame) -> DataFrame:
-    """(term, docs, labelled, toxic): numbers of documents with the term, over all rows of ``docs`` (text, y).
-
-    ``y`` is 1 or 0 for documents to learn from, else null. Counted in tasks before anything is shuffled.
-    """
+def term_statistics(learn: DataFrame) -> DataFrame:
+    """(term, labelled, toxic): numbers of documents with the term among ``learn`` (text, y). Tasks count first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         known: Counter = Counter()
         toxic: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            keys = list(seen)
+            keys = list(known)
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (seen, known, toxic))],
-                names=["term", "docs", "labelled", "toxic"],
+                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (known, toxic))],
+                names=["term", "labelled", "toxic"],
             )
 
         for texts, ys in rows(batches):
             for text, y in zip(texts, ys):
                 own = terms(text).keys()
-                seen.update(own)
-                if y is not None:
-                    known.update(own)
-                    if y:
-                        toxic.update(own)
-            if len(seen) > COUNTED:
+                known.update(own)
+                if y:
+                    toxic.update(own)
+            if len(known) > COUNTED:
                 yield out()
-                for c in (seen, known, toxic):
-                    c.clear()
+                known.clear()
+                toxic.clear()
         yield out()
 
-    return (
-        docs.select("text", "y").mapInArrow(run, "term string, docs long, labelled long, toxic long")
-        .groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("labelled").alias("labelled"), F.sum("toxic").alias("toxic"))
-    )
+    counted = learn.select("text", "y").mapInArrow(run, "term string, labelled long, toxic long")
+    return counted.groupBy("term").agg(F.sum("labelled").alias("labelled"), F.sum("toxic").alias("toxic"))
 
 
 class Index:
@@ -188,40 +180,50 @@ def found_terms(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<struct<t:string,n:int>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, learned: int = 16_384, examples: int = 1024) -> tuple[Model, DataFrame]:
     """A model, and ``found_terms`` of all of ``docs`` for it.
 
-    Learns from the documents with a label 0 or 1 that are not held out. ``examples``: the index holds at most so many
-    examples of each label, the ones of the smallest hash of the id. Documents with several labels count as toxic if
-    one says so. Without labels every score is 0.5.
+    Learns from the documents with a label 0 or 1 that are not held out: at most ``learned`` of each label choose the
+    terms, at most ``examples`` of each are in the index, both those of the smallest hash of the id. Results are weighted
+    by the labels' true shares. Documents with several labels count as toxic if one says so. Without labels every score
+    is 0.5.
     """
     y = (
         labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
     )
-    joined = docs.join(y, "doc_id", "left")
-    statistics = stage(term_statistics(joined), "toxic-terms")
-    number, (labelled, toxic) = docs.count(), docs.select("doc_id").join(y, "doc_id").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not labelled:
+    known = stage(docs.select("doc_id").join(y, "doc_id").distinct(), "toxic-known")
+    share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    if not share:
         return Model(Index({}, [], [], []), (0.0, 0.0), 0.5), found_terms(docs, [])
-    a, n1, n0 = F.col("toxic"), F.lit(float(max(1, toxic))), F.lit(float(max(1, labelled - toxic)))
+    firsts = [known.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(learned) for label in (0, 1)]
+    sample = stage(firsts[0].unionByName(firsts[1]), "toxic-sample")
+    n = {r.y: float(r["count"]) for r in sample.groupBy("y").count().collect()}
+    weight = {label: share[label] / n[label] for label in share}
+    # At most 2 * learned rows of 16 bytes: small enough to go to every task, so no text is shuffled.
+    statistics = stage(term_statistics(docs.join(F.broadcast(sample), "doc_id")), "toxic-terms")
+    a, n1, n0 = F.col("toxic"), F.lit(n.get(1, 1.0)), F.lit(n.get(0, 1.0))
     b = F.col("labelled") - a
-    chi = labelled * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(labelled - a - b, F.lit(1)))
+    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
     least = 2 * math.log(max(3, statistics.count())) + 6  # so that about none of all terms passes by chance
-    chosen = (
-        statistics.where("labelled >= 3").withColumn("chi", chi).where((F.col("chi") >= least) & (a >= PURE * (a + b + 1)))
+    real = a * weight.get(1, 1.0)
+    chosen = [
+        r.term for r in statistics.where("labelled >= 3").withColumn("chi", chi)
+        .where((F.col("chi") >= least) & (real >= PURE * (real + b * weight.get(0, 1.0) + 1)))
         .orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()
-    )
-    idf = {r.term: math.log((1 + number) / (1 + r.docs)) + 1 for r in chosen}
-    found = stage(found_terms(docs, list(idf)), "toxic-found")
-    marked = stage(found.join(y, "doc_id").select("doc_id", "y", "found", F.size("found").alias("n")), "toxic-learn")
-    empty = marked.where("n = 0").agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    plain = (empty[1] + toxic / labelled) / (empty[0] + 1)
+    ]
+    found = stage(found_terms(docs, chosen), "toxic-found")
+    number = found.count()
+    seen = {r.t: r["count"] for r in found.select(F.explode("found.t").alias("t")).groupBy("t").count().collect()}  # a row per chosen term
+    idf = {t: math.log((1 + number) / (1 + seen.get(t, 0))) + 1 for t in chosen}
+    marked = stage(found.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "found", F.size("found").alias("n")).dropDuplicates(["doc_id"]), "toxic-learn")
+    empty = {r.y: r["count"] for r in marked.where("n = 0").groupBy("y").count().collect()}
+    plain1, plain0 = (empty.get(label, 0) * weight.get(label, 1.0) for label in (1, 0))
+    plain = (plain1 + share.get(1, 0) / sum(share.values())) / (plain1 + plain0 + 1)
     held = []
     for label in (0, 1):
-        rows_ = marked.where((F.col("n") > 0) & (F.col("y") == label))
-        held += rows_.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
-    share = {label: marked.where((F.col("n") > 0) & (F.col("y") == label)).count() for label in (0, 1)}
+        held += marked.where((F.col("n") > 0) & (F.col("y") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
+    having = {r.y: r["count"] * weight[r.y] for r in marked.where("n > 0").groupBy("y").count().collect()}
     counts = [{f.t: f.n for f in r.found} for r in held]
     index = Index(idf, [r.doc_id for r in held], [r.y for r in held], counts)
     votes, ys, weights = [], [], []
@@ -229,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 1024) -> tuple[Model
         if near := index.nearest(c, without=r.doc_id):
             votes.append(vote(near))
             ys.append(r.y)
-            weights.append(share[r.y] / max(1, sum(x.y == r.y for x in held)))
+            weights.append(having[r.y] / sum(x.y == r.y for x in held))
     curve = logistic(np.array(votes), np.array(ys, float), np.array(weights)) if votes else (math.log((plain + 1e-9) / (1 - plain + 1e-9)), 0.0)
     return Model(index, curve, plain), found
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, knn, language, licenses, oracle, packing, simhash, toxicity, urls
+import corpus_pipeline
+from ledgerlens.llm import chat, decontam, knn, language, licenses, oracle, packing, simhash, suffixes, toxicity, urls
 from ledgerlens.llm.common import table
 from ledgerlens.session import stage
 
@@ -52,6 +53,14 @@ def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, folder, "documents"), least=50)
+
+
+def op9_contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=13, share=0.8)
+
+
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -64,6 +73,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_top_k": op6_top_k,
     "op7_urls": op7_urls,
+    "op8_passages": op8_passages,
+    "op9_contaminated": op9_contaminated,
     "op10_licenses": op10_licenses,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL: dict[str, str] = {"op4_chat": oracle.OP4, "op6_top_k": oracle.OP6, "op10_licenses": oracle.OP10}

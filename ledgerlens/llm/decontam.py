@@ -130,7 +130,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int, least: int, share: fl
     An overlap begins and ends with equal tokens, at least ``share`` of its tokens are equal, and it has at least
     ``least`` tokens, or all of a shorter item. Of the longest the first is given.
     """
-    lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    lo = max(0, -shift)
+    hi = max(lo, min(len(item), len(doc) - shift))
     same = doc[lo + shift : hi + shift] == item[lo:hi]
     least = min(least, len(item))
     # An equal token is worth 1 - share, another costs share: enough are equal where the sum is not below zero.

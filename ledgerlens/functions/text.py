@@ -10,6 +10,8 @@ from ledgerlens.model import DATE_FIELDS, MAX_UPLOAD_BYTES, MONEY_FIELDS
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 SAFE_NAME_LENGTH = 100
+#: The word "invoice", perhaps a mark for "number" and a colon, then an identifier of three or more characters.
+LABELLED_NUMBER = r"(?i)invoice\s*(?:(?:number|no[.]?|#)\s*)?(?:[:]\s*)?([a-z0-9](?:-|[a-z0-9]){2,})"
 
 
 # The characters that count as whitespace at the ends of a text.
@@ -72,6 +74,7 @@ def checked_value(field: Column, value: Column) -> Column:
     v = strip(value)
     amount = F.bround(F.regexp_replace(v, "[,$]", "").try_cast("decimal(38,10)"), 2).cast("decimal(30,2)").cast("string")
     day = F.date_format(iso_date(v), "yyyy-MM-dd")
+    # The three messages.
     is_money, is_date = field.isin(MONEY_FIELDS), field.isin(DATE_FIELDS)
     empty = v.isNull() | (v == "")
     stored = F.when(~empty, F.when(is_money, amount).when(is_date, day).otherwise(v))
@@ -88,13 +91,14 @@ def printed_variants(field: Column, value: Column) -> Column:
     m = money(value)
     d = iso_date(value)
     as_date = F.array(*[F.date_format(d, p) for p in ("MM/dd/yyyy", "MMMM dd, yyyy", "yyyy-MM-dd", "MMM dd, yyyy")])
-    return (
+    variants = (
         F.when(value.isNull() | (value == ""), F.array().cast("array<string>"))
         .when(field.isin(MONEY_FIELDS), F.array(F.format_number(m, 2), m.cast("string")))
         .when(field == "quantity", F.array(plain_number(value)))
         .when(field.isin(DATE_FIELDS), F.when(d.isNotNull(), as_date).otherwise(F.array(value)))
         .otherwise(F.array(strip(value)))
     )
+    return F.filter(variants, lambda v: v.isNull() | (strip(v) != ""))  # a blank value is printed nowhere
 
 
 def compare_norm(c: Column) -> Column:
@@ -128,7 +132,7 @@ def file_problem(doc_id: Column, content: Column, size: Column) -> Column:
 def fallback_fields(text: Column) -> Column:
     """struct(vendor_name, invoice_number) read from raw text: the first line with content, a labelled number."""
     vendor = F.element_at(F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), strip), lambda l: l != ""), 1)
-    number = F.regexp_extract(text, r"(?i)invoice\s*(?:#|no\.?|number)?\s*:?\s*([A-Z0-9][A-Z0-9-]{2,})", 1)
+    number = F.regexp_extract(text, LABELLED_NUMBER, 1)
     return F.struct(
         F.coalesce(vendor, F.lit("Unknown vendor")).alias("vendor_name"),
         F.when(number != "", number).alias("invoice_number"),

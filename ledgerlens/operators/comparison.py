@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import code_key, label_text, same_text
 from ledgerlens.model import HEADER_FIELDS, PAYMENT_DAYS
 from ledgerlens.operators.eav import header_text, line_text
+from ledgerlens.operators.numbering import numbered
 from ledgerlens.operators.queue import first_by_key
 from ledgerlens.session import stage
 
-LISTED_ORDERS = 1000
+CHUNK = 100  # order numbers in one text of a candidate list
 
 
 def candidate_orders(exceptions: DataFrame, purchase_orders: DataFrame) -> DataFrame:
@@ -23,21 +24,19 @@ def candidate_orders(exceptions: DataFrame, purchase_orders: DataFrame) -> DataF
     return purchase_orders.join(vendors, "vendor_id", "left_semi").select("vendor_id", "po_number")
 
 
-def candidate_pos(exceptions: DataFrame, purchase_orders: DataFrame, listed: int = LISTED_ORDERS) -> DataFrame:
-    """Per vendor with a NO_PO exception: how many orders it has, and their sorted list as text or "(none)".
+def candidate_pos(exceptions: DataFrame, purchase_orders: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Per vendor with a NO_PO exception its sorted order numbers as text, or "(none)".
 
-    A vendor with more than ``listed`` orders gets their number instead of the text; ``candidate_orders`` holds the
-    orders themselves, so nothing is lost and no task collects more than ``listed`` of them.
+    (vendor_id, chunk, n_orders, candidates): a text holds ``chunk`` orders, so a vendor of any size is listed in full
+    and no task collects more than that.
     """
     vendors = exceptions.filter("rule_code = 'NO_PO'").select("vendor_id").distinct()
-    orders = candidate_orders(exceptions, purchase_orders)
-    counts = orders.groupBy("vendor_id").agg(F.count("*").alias("n_orders"))
-    short = orders.join(counts.filter(F.col("n_orders") <= listed).select("vendor_id"), "vendor_id", "left_semi")
-    lists = short.groupBy("vendor_id").agg(F.array_join(F.sort_array(F.collect_list("po_number")), ", ").alias("listed"))
-    n = F.coalesce("n_orders", F.lit(0).cast("bigint"))
-    return vendors.join(counts, "vendor_id", "left").join(lists, "vendor_id", "left").select(
-        "vendor_id", n.alias("n_orders"),
-        F.when(n == 0, "(none)").otherwise(F.coalesce("listed", F.concat(n.cast("string"), F.lit(" purchase orders")))).alias("candidates"))
+    placed = numbered(candidate_orders(exceptions, purchase_orders), "vendor_id", ["po_number"], "place")
+    lists = placed.groupBy("vendor_id", F.floor((F.col("place") - 1) / chunk).cast("int").alias("chunk")).agg(
+        F.count("*").alias("n_orders"), F.array_join(F.sort_array(F.collect_list("po_number")), ", ").alias("listed"))
+    return vendors.join(lists, "vendor_id", "left").select(
+        "vendor_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("n_orders", F.lit(0).cast("bigint")).alias("n_orders"),
+        F.coalesce("listed", F.lit("(none)")).alias("candidates"))
 
 
 def _row(what: Column | str, invoice: Column, record: Column, source: str, ok: bool | None = None) -> Column:
@@ -63,9 +62,11 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
     def of(rule: str) -> DataFrame:
         return e.filter(F.col("rule_code") == rule)
 
-    def rows(df: DataFrame, items: Column) -> DataFrame:
-        return df.select("doc_id", "rule_code", "evidence_field", "detail", F.posexplode(items).alias("pos", "r")).select(
-            "doc_id", "rule_code", "evidence_field", "detail", "pos", "r.*")
+    def rows(df: DataFrame, items: Column, first: Column | None = None) -> DataFrame:
+        place = F.col("pos") if first is None else F.col("pos") + F.col("first")
+        own = df.withColumn("first", F.lit(0) if first is None else first)
+        return own.select("doc_id", "rule_code", "evidence_field", "detail", "first", F.posexplode(items).alias("pos", "r")).select(
+            "doc_id", "rule_code", "evidence_field", "detail", place.alias("pos"), "r.*")
 
     v = t["vendors"].select("vendor_id", F.col("bank_name").alias("v_bank"), F.col("routing_number").alias("v_routing"),
                             F.col("bank_account").alias("v_account"))
@@ -87,9 +88,10 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("Invoice date", F.col("invoice_date"), _text("p_date"), "payments"),
         _row("Paid", F.lit("(this invoice)"), F.concat("payment_id", F.lit(" on "), _text("paid_date")), "payments", False)))
 
-    lists = candidate_pos(exceptions, t["purchase_orders"]).select("vendor_id", "candidates")
+    lists = candidate_pos(exceptions, t["purchase_orders"]).select("vendor_id", "chunk", "candidates")
     no_po = rows(of("NO_PO").join(lists, "vendor_id", "left"), F.array(
-        _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False)))
+        _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False),
+    ), F.col("chunk"))
 
     lines = line_text(t["extractions"])
     on_lines = e.filter(F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT"))

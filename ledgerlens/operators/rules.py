@@ -16,14 +16,14 @@ AMOUNT = "decimal(12,2)"
 def resolve_vendor(header: DataFrame, vendors: DataFrame) -> DataFrame:
     """Invoices with the vendor matched by tax id digits, else by name; several matches give several rows.
 
-    Invoices without a key get one of their own that no vendor can have: they stay unmatched without all meeting in
-    one task. Whether vendors are broadcast is left to their measured size.
+    Invoices without a key (no tax id, one without digits, a blank name) get one of their own that no vendor can have:
+    they stay unmatched without all meeting in one task. Vendors without a key match nothing by it. Whether vendors are broadcast is left to their measured size.
     """
     own = F.concat(F.lit("\u0001"), F.col("doc_id"))
-    h = header.withColumn("tax_key", F.coalesce(digits(F.col("vendor_tax_id")), own)).withColumn(
-        "name_key", F.coalesce(name_key(F.col("vendor_name")), own))
-    by_tax = vendors.select(digits(F.col("tax_id")).alias("tax_key"), F.col("vendor_id").alias("tax_vendor"))
-    by_name = vendors.select(name_key(F.col("name")).alias("name_key"), F.col("vendor_id").alias("name_vendor"))
+    h = header.withColumn("tax_key", F.coalesce(F.nullif(digits(F.col("vendor_tax_id")), F.lit("")), own)).withColumn(
+        "name_key", F.coalesce(F.nullif(name_key(F.col("vendor_name")), F.lit("")), own))
+    by_tax = vendors.select(digits(F.col("tax_id")).alias("tax_key"), F.col("vendor_id").alias("tax_vendor")).filter("tax_key <> ''")
+    by_name = vendors.select(name_key(F.col("name")).alias("name_key"), F.col("vendor_id").alias("name_vendor")).filter("name_key <> ''")
     return (
         h.join(by_tax, "tax_key", "left").join(by_name, "name_key", "left")
         .withColumn("vendor_id", F.coalesce("tax_vendor", "name_vendor"))

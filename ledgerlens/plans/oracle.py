@@ -6,6 +6,7 @@ its own final SELECT.
 
 from __future__ import annotations
 
+from ledgerlens.functions.text import LABELLED_NUMBER
 from ledgerlens.model import ACTION, RULES, TABLE_COMMENTS
 
 AS_OF = "DATE '2001-07-25'"
@@ -262,21 +263,19 @@ _BOX = "x0, top AS y0, x1, bottom AS y1"
 _RULE = "SELECT doc_id, vendor_id, invoice_number, rule_code, detail, amount_at_risk, priority, action, evidence_field FROM exc WHERE rule_code = '{}'"
 _SCORED = """
 , misread AS (
-  SELECT doc_id, field_name, line_no, CASE WHEN (k * 19 + length(field_name) + coalesce(line_no, 0)) % 251 = 0 THEN '8' || substr(field_value, 2)
+  SELECT doc_id, field_name, line_no, k, field_value AS plain, CASE WHEN (k * 19 + length(field_name) + coalesce(line_no, 0)) % 251 = 0 THEN '8' || substr(field_value, 2)
     ELSE field_value END AS field_value FROM extractions),
-expected_fields AS (
-  SELECT doc_id, field_name, line_no, field_value AS expected FROM extractions
-  WHERE field_name IN ('vendor_name', 'invoice_number', 'invoice_date', 'due_date', 'po_number', 'payment_terms', 'bank_name', 'routing_number',
-    'bank_account', 'total', 'sku', 'quantity', 'unit_price', 'amount')),
 forms AS (
-  SELECT e.doc_id, e.field_name, e.line_no, e.expected, m.field_value AS extracted, regexp_replace(e.expected, '^\\s+|\\s+$', '', 'g') AS a,
-    regexp_replace(m.field_value, '^\\s+|\\s+$', '', 'g') AS b
-  FROM expected_fields e LEFT JOIN misread m ON m.doc_id = e.doc_id AND m.field_name = e.field_name AND m.line_no IS NOT DISTINCT FROM e.line_no),
+  SELECT doc_id, field_name, line_no, plain AS expected, field_value AS extracted, regexp_replace(plain, '^\\s+|\\s+$', '', 'g') AS a,
+    regexp_replace(field_value, '^\\s+|\\s+$', '', 'g') AS b FROM misread),
 scored AS (
   SELECT doc_id, field_name, line_no, expected, extracted,
     coalesce(CAST(CAST(TRY_CAST(replace(a, ',', '') AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR), lower(a), '')
-      = coalesce(CAST(CAST(TRY_CAST(replace(b, ',', '') AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR), lower(b), '') AS ok FROM forms)
+      = coalesce(CAST(CAST(TRY_CAST(replace(b, ',', '') AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR), lower(b), '') AS ok FROM forms
+  WHERE field_name IN ('vendor_name', 'invoice_number', 'invoice_date', 'due_date', 'po_number', 'payment_terms', 'bank_name', 'routing_number',
+    'bank_account', 'total', 'sku', 'quantity', 'unit_price', 'amount'))
 """
+_JUDGED = "CAST(doc_id[2:] AS BIGINT) % 31 <> 4 AND CAST(doc_id[2:] AS BIGINT) % 37 <> 5"
 _EXPECTED = f"""
 , clean AS (SELECT t.*, upper(t.po_number) AS po_key, v.bank_account AS on_file FROM truth t JOIN vendors v USING (vendor_id)),
 agreed AS (SELECT po_number, sku, arg_max(unit_price, line_no) AS agreed FROM po_lines GROUP BY ALL),
@@ -300,7 +299,7 @@ rollup_found AS (SELECT doc_id, rule_code, CAST(sum(coalesce(amount_at_risk, 0))
 matched AS (
   SELECT coalesce(e.doc_id, f.doc_id) AS doc_id, coalesce(e.rule_code, f.rule_code) AS rule_code, e.amount AS expected, f.found,
     coalesce(abs(e.amount - f.found) < 0.01, false) AS ok
-  FROM expected e FULL OUTER JOIN rollup_found f ON e.doc_id = f.doc_id AND e.rule_code = f.rule_code),
+  FROM (SELECT * FROM expected WHERE {_JUDGED}) e FULL OUTER JOIN (SELECT * FROM rollup_found WHERE {_JUDGED}) f ON e.doc_id = f.doc_id AND e.rule_code = f.rule_code),
 per_doc AS (SELECT doc_id, count(expected) AS n_expected, count(found) AS n_found, CASE WHEN bool_and(ok) THEN 'ok' ELSE 'WRONG' END AS status FROM matched GROUP BY doc_id)
 """
 _QUEUE = """SELECT e.*, v.name AS vendor_name, f.source, f.file_name FROM exc e LEFT JOIN vendors v USING (vendor_id) LEFT JOIN files f USING (doc_id)"""
@@ -324,19 +323,22 @@ def _same(a: str, b: str) -> str:
     return f"lower({strip.format(a)}) = lower({strip.format(b)})"
 
 
-def _cmp(source: str, pos: int, what: str, invoice: str, record: str, table: str, ok: str | None = None) -> str:
+def _cmp(source: str, pos: int | str, what: str, invoice: str, record: str, table: str, ok: str | None = None) -> str:
     return (f"SELECT doc_id, rule_code, evidence_field, detail, {pos} AS pos, {what} AS what, {invoice} AS invoice, {record} AS record, "
             f"'{table}' AS source, {ok or _same(invoice, record)} AS ok FROM {source}")
 
 
-_COMPARISON = """
-, e AS (SELECT x.doc_id, x.rule_code, x.evidence_field, x.detail, x.amount_at_risk, x.vendor_id, h.* EXCLUDE (doc_id),
+_LISTS = """
+, lists AS (SELECT vendor_id, chunk, count(*) AS n, string_agg(po_number, ', ' ORDER BY po_number) AS pos
+  FROM (SELECT vendor_id, po_number, CAST((row_number() OVER (PARTITION BY vendor_id ORDER BY po_number) - 1) // 100 AS INTEGER) AS chunk FROM purchase_orders)
+  GROUP BY vendor_id, chunk)
+"""
+_COMPARISON = _LISTS + """, e AS (SELECT x.doc_id, x.rule_code, x.evidence_field, x.detail, x.amount_at_risk, x.vendor_id, h.* EXCLUDE (doc_id),
     TRY_CAST(string_split(x.evidence_field, ':')[2] AS INTEGER) AS line_no FROM exc x JOIN header h USING (doc_id)),
 bank AS (SELECT e.*, v.bank_name AS vb, v.routing_number AS vr, v.bank_account AS va FROM e JOIN vendors v USING (vendor_id) WHERE rule_code = 'BANK_MISMATCH'),
 dup AS (SELECT e.*, p.payment_id, p.invoice_number AS pn, CAST(p.amount AS VARCHAR) AS pa, CAST(p.invoice_date AS VARCHAR) AS pd, CAST(p.paid_date AS VARCHAR) AS pp
   FROM e JOIN payments p ON p.vendor_id = e.vendor_id AND upper(trim(p.invoice_number)) = upper(trim(e.invoice_number)) WHERE rule_code = 'DUPLICATE'),
-lists AS (SELECT vendor_id, string_agg(po_number, ', ' ORDER BY po_number) AS pos FROM purchase_orders GROUP BY vendor_id),
-nopo AS (SELECT e.*, coalesce(lists.pos, '(none)') AS candidates FROM e LEFT JOIN lists USING (vendor_id) WHERE rule_code = 'NO_PO'),
+nopo AS (SELECT e.*, coalesce(chunk, 0) AS chunk, coalesce(lists.pos, '(none)') AS candidates FROM e LEFT JOIN lists USING (vendor_id) WHERE rule_code = 'NO_PO'),
 ltext AS (SELECT doc_id, line_no, max(field_value) FILTER (field_name = 'sku') AS sku, max(field_value) FILTER (field_name = 'description') AS ld,
   max(field_value) FILTER (field_name = 'quantity') AS lq, max(field_value) FILTER (field_name = 'unit_price') AS lp FROM extractions WHERE line_no IS NOT NULL GROUP BY ALL),
 lines AS (SELECT e.*, l.sku, ld, lq, lp FROM e JOIN ltext l USING (doc_id, line_no)),
@@ -356,7 +358,7 @@ unk AS (SELECT * FROM e WHERE rule_code = 'UNKNOWN_VENDOR')
     _cmp("dup", 1, "'Amount'", "total", "pa", "payments"),
     _cmp("dup", 2, "'Invoice date'", "invoice_date", "pd", "payments"),
     _cmp("dup", 3, "'Paid'", "'(this invoice)'", "payment_id || ' on ' || pp", "payments", "false"),
-    _cmp("nopo", 0, "'PO number'", "coalesce(po_number, '(none)')", "candidates", "purchase_orders", "false"),
+    _cmp("nopo", "chunk", "'PO number'", "coalesce(po_number, '(none)')", "candidates", "purchase_orders", "false"),
     _cmp("price", 0, "'Item'", "sku || ' ' || coalesce(ld, '')", "sku || ' ' || rd", "po_lines"),
     _cmp("price", 1, "'Unit price'", "lp", "rp", "po_lines", "false"),
     _cmp("price", 2, "'Quantity'", "lq", "rq", "po_lines"),
@@ -387,13 +389,14 @@ def _queue_columns(prefix: str = "") -> str:
 
 _EVERY_EXCEPTION = f"SELECT {_queue_columns()} FROM exc"
 _FILES = """
-WITH reg AS (SELECT 'D' || doc_id AS doc_id, lang, source, text, sha256(text) AS sha256, 'D' || doc_id || '_' || lang || '_' || source || '.pdf' AS file_name FROM documents)
+WITH reg AS (SELECT 'D' || doc_id AS doc_id, lang, source, '%PDF-1.7 ' || text AS text, sha256('%PDF-1.7 ' || text) AS sha256, 'D' || doc_id || '_' || lang || '_' || source || '.pdf' AS file_name
+  FROM documents WHERE source <> 'src7')
 """
 _LAND = _FILES + """, firsts AS (SELECT sha256, min(doc_id) AS first_id FROM reg GROUP BY sha256),
 known AS (SELECT sha256, min(doc_id) AS known_id FROM reg WHERE lang = 'en' GROUP BY sha256)
 """
 _REVIEWS = """
-, ev AS (SELECT 'B' || user_id AS doc_id, arg_max({'v': CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), 'r': event_type}, {'t': ts, 's': event_id}) AS r FROM events GROUP BY user_id),
+, ev AS (SELECT 'B' || user_id AS doc_id, arg_max({'v': CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), 'r': event_type}, {'t': ts, 's': event_id}) AS r FROM events WHERE event_id % 7 <> 1 GROUP BY user_id),
 patched AS (
   SELECT x.doc_id, field_name, line_no, CASE WHEN ev.doc_id IS NULL THEN field_value ELSE ev.r.v END AS field_value,
     CASE WHEN ev.doc_id IS NULL THEN confidence ELSE 1.0 END AS confidence, CASE WHEN ev.doc_id IS NULL THEN model ELSE 'reviewed by ' || ev.r.r END AS model
@@ -413,19 +416,20 @@ def _reviewed_rules() -> str:
 
 SQL: dict[str, str] = {
     # ---- scans, sources, sinks
-    "S1_erp_payments": _inv("SELECT * FROM payments"),
-    "S1_erp_po_lines": _inv("SELECT * FROM po_lines"),
+    **{f"S1_erp_{t}": _inv(f"SELECT * FROM {t}") for t in ("vendors", "purchase_orders", "po_lines", "goods_receipts", "payments")},
     "S2_register_files": _FILES + "SELECT doc_id, file_name, 'landing/' || file_name AS s3_uri, sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, 'batch' AS source, 'pending' AS status FROM reg",
     "S3_land": _LAND + "SELECT first_id AS doc_id, sha256 FROM firsts WHERE sha256 NOT IN (SELECT sha256 FROM known)",
     "S3_landed_ids": _LAND + "SELECT doc_id, coalesce(known_id, first_id) AS landed_id, known_id IS NULL AND doc_id = first_id AS added FROM reg JOIN firsts USING (sha256) LEFT JOIN known USING (sha256)",
     "S4_responses_json": _pag("SELECT 'D' || md.k AS doc_id, CAST(md.p + 1 AS INTEGER) AS page, markdown, b.n AS n_blocks, coalesce(w.n, 0) AS n_words FROM md JOIN (SELECT k, p, CAST(count(*) AS INTEGER) AS n FROM blk GROUP BY k, p) b USING (k, p) LEFT JOIN (SELECT k, p, CAST(count(*) AS INTEGER) AS n FROM wd GROUP BY k, p) w USING (k, p)"),
     "S5_create_tables": _inv("SELECT * FROM po_lines"),
     "S6_append_rows": _inv("SELECT doc_id, field_name, line_no, field_value FROM extractions"),
-    "S7_replace_by_key": _inv("SELECT doc_id, field_name, line_no, CASE WHEN source = 'upload' THEN m.field_value ELSE x.field_value END AS field_value FROM extractions x JOIN misread m USING (doc_id, field_name) JOIN files USING (doc_id) WHERE m.line_no IS NOT DISTINCT FROM x.line_no".replace("doc_id, field_name, line_no,", "x.doc_id, x.field_name, x.line_no,"), _SCORED),
+    "S7_replace_by_key": _inv("SELECT doc_id, field_name, line_no, CASE WHEN source = 'upload' THEN field_value ELSE plain END AS field_value FROM misread JOIN files USING (doc_id)", _SCORED),
     "S8_mark_processed": _inv("SELECT doc_id, CASE WHEN r THEN 'processed' ELSE status END AS status, CAST(CASE WHEN r THEN TIMESTAMP '2001-07-25 07:00:00' ELSE processed_at END AS VARCHAR) AS processed_at FROM (SELECT *, status = 'pending' AS r FROM files)"),
     "S8_apply_reviews": _inv("SELECT * FROM patched", _REVIEWS),
     "S9_delete_documents": _inv("SELECT doc_id, source, status FROM files WHERE source <> 'upload'"),
     "S9_delete_extractions": _inv("SELECT doc_id, field_name, line_no, field_value FROM extractions WHERE doc_id IN (SELECT doc_id FROM files WHERE source <> 'upload')"),
+    "S9_delete_exceptions": _inv(f"SELECT {_queue_columns()} FROM exc WHERE doc_id IN (SELECT doc_id FROM files WHERE source <> 'upload')"),
+    "S8_review_rejects": "SELECT event_id AS seq, 'B' || user_id AS doc_id, 'total' AS field_name, 'about ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS value, 'Total must be an amount, for example 2273.60.' AS error FROM events WHERE event_id % 7 = 1",
     "S10_rebuild_queue": _inv(_EVERY_EXCEPTION),
     "S11_table_inventory": _inv("SELECT table_name, CASE WHEN table_name IN ('documents', 'extractions', 'exceptions') THEN 'Document AI' ELSE 'Enterprise data' END AS kind, n_rows, comment FROM (" + _COUNTS + ") JOIN (VALUES " + ", ".join(f"('{t}', '{c}')" for t, c in TABLE_COMMENTS.items()) + ") AS c(table_name, comment) USING (table_name)"),
     "S12_json_safe": _inv("SELECT doc_id, CAST(total AS DOUBLE) AS total, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(processed_at AS VARCHAR) AS processed_at, CASE WHEN status = 'processed' THEN size_bytes / 1000 END AS kilobytes FROM truth JOIN files USING (doc_id)"),
@@ -435,13 +439,16 @@ SQL: dict[str, str] = {
     "P3_flatten_annotation": _pag("SELECT doc_id, field_name, line_no, value AS field_value, row_key FROM vals", _FIELDS_WANTED),
     "P4_canonical_value": _inv("SELECT doc_id, field_name, line_no, CASE WHEN field_name IN ('subtotal', 'tax', 'total', 'unit_price', 'amount') THEN CAST(TRY_CAST(field_value AS DECIMAL(12,2)) AS VARCHAR) WHEN field_name = 'quantity' THEN field_value ELSE regexp_replace(field_value, '^\\s+|\\s+$', '', 'g') END AS canonical FROM misread", _SCORED),
     "P5_check_value": _inv("""
-, reviews AS (SELECT doc_id, field_name, CASE WHEN k % 17 = 3 THEN ' ' WHEN field_name = 'total' AND k % 5 = 2 THEN 'twelve'
-    WHEN field_name = 'total' THEN ' $' || format('{:,.2f}', TRY_CAST(field_value AS DOUBLE)) WHEN field_name = 'invoice_date' AND k % 5 = 3 THEN replace(field_value, '-', '/')
-    ELSE field_value || ' ' END AS v FROM extractions WHERE line_no IS NULL AND field_name IN ('total', 'invoice_date', 'vendor_name')),
-stripped AS (SELECT doc_id, field_name, trim(v) AS v, CASE WHEN field_name = 'total' THEN CAST(TRY_CAST(replace(replace(trim(v), '$', ''), ',', '') AS DECIMAL(38,2)) AS VARCHAR)
-    WHEN field_name = 'invoice_date' THEN CASE WHEN regexp_full_match(trim(v), '\\d{4}-\\d{2}-\\d{2}') THEN CAST(TRY_CAST(trim(v) AS DATE) AS VARCHAR) END ELSE trim(v) END AS stored FROM reviews)
-SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN v = '' OR v IS NULL THEN 'Enter a value.' WHEN stored IS NULL AND field_name = 'total' THEN 'Total must be an amount, for example 2273.60.'
-  WHEN stored IS NULL AND field_name = 'invoice_date' THEN 'Invoice date must be a date as YYYY-MM-DD.' END AS error FROM stripped"""),
+, kinds AS (SELECT *, field_name IN ('subtotal', 'tax', 'total', 'unit_price', 'amount') AS money, field_name IN ('invoice_date', 'due_date') AS day FROM extractions),
+reviews AS (SELECT *, CASE WHEN k % 17 = 3 THEN ' ' WHEN money AND k % 5 = 2 THEN 'twelve' WHEN money THEN ' $' || format('{:,.2f}', TRY_CAST(field_value AS DOUBLE))
+    WHEN day AND k % 5 = 3 THEN replace(field_value, '-', '/') ELSE field_value || ' ' END AS v FROM kinds),
+stripped AS (SELECT doc_id, field_name, line_no, money, day, trim(v) AS v, CASE WHEN money THEN CAST(TRY_CAST(replace(replace(trim(v), '$', ''), ',', '') AS DECIMAL(38,2)) AS VARCHAR)
+    WHEN day THEN CASE WHEN regexp_full_match(trim(v), '\\d{4}-\\d{2}-\\d{2}') THEN CAST(TRY_CAST(trim(v) AS DATE) AS VARCHAR) END ELSE trim(v) END AS stored,
+    upper(field_name[1]) || replace(field_name, '_', ' ')[2:] AS label FROM reviews)
+SELECT doc_id, field_name, line_no, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN v = '' OR v IS NULL THEN 'Enter a value.'
+  WHEN stored IS NULL AND money THEN label || ' must be an amount, for example 2273.60.'
+  WHEN stored IS NULL AND day THEN label || ' must be a date as YYYY-MM-DD.' END AS error FROM stripped"""),
+    "P6_documents_by_ids": _inv("SELECT doc_id, file_name, s3_uri, sha256 FROM files WHERE CAST(doc_id[2:] AS BIGINT) BETWEEN 1 AND 199"),
     "P6_select_documents": _inv("SELECT doc_id, file_name, s3_uri, sha256 FROM files WHERE status = 'pending'"),
     "P7_list_extractions": _inv("SELECT doc_id, field_name, line_no, field_value, confidence, page, model FROM extractions"),
     "P8_evidence_keys": _inv("SELECT * FROM keys", _KEYS),
@@ -460,7 +467,7 @@ SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN
     "J12_evidence_marks": _inv("SELECT doc_id, rule_code, evidence_field, pos, field_name, evidence_line, page, bbox, pos = 0 AS is_primary, replace(field_name, '_', ' ') || coalesce(' · ' || CAST(confidence AS DECIMAL(4,2)), '') AS label FROM located WHERE bbox IS NOT NULL AND page IS NOT NULL", _KEYS),
     "J12_evidence_caption": _inv("SELECT doc_id, rule_code, evidence_field, CAST(coalesce(page, 1) AS INTEGER) AS open_page, CASE WHEN bbox IS NOT NULL THEN confidence END AS caption_confidence, CASE WHEN bbox IS NOT NULL THEN model END AS caption_model FROM located WHERE pos = 0", _KEYS),
     "J13_comparison": _inv("", _COMPARISON),
-    "J14_candidate_pos": _inv("SELECT vendor_id, count(po_number) AS n_orders, coalesce(string_agg(po_number, ', ' ORDER BY po_number), '(none)') AS candidates FROM (SELECT DISTINCT vendor_id FROM exc WHERE rule_code = 'NO_PO') LEFT JOIN purchase_orders USING (vendor_id) GROUP BY vendor_id"),
+    "J14_candidate_pos": _inv("SELECT vendor_id, coalesce(chunk, 0) AS chunk, coalesce(n, 0) AS n_orders, coalesce(pos, '(none)') AS candidates FROM (SELECT DISTINCT vendor_id FROM exc WHERE rule_code = 'NO_PO') LEFT JOIN lists USING (vendor_id)", _LISTS),
     "J14_candidate_orders": _inv("SELECT vendor_id, po_number FROM purchase_orders WHERE vendor_id IN (SELECT vendor_id FROM exc WHERE rule_code = 'NO_PO')"),
     "J15_score_fields": _inv("SELECT * FROM scored", _SCORED),
     "J16_score_queue": _inv("SELECT * FROM per_doc", _EXPECTED),
@@ -472,7 +479,7 @@ SELECT doc_id, field_name, CASE WHEN v <> '' THEN stored END AS value, CASE WHEN
     # ---- aggregations
     "A1_kpis": _inv("SELECT (SELECT count(*) FROM files WHERE status = 'processed') AS processed, (SELECT count(*) FROM extractions) AS fields, count(*) AS actions, count(DISTINCT doc_id) FILTER (priority <= 3) AS need_action, CAST(coalesce(sum(amount_at_risk) FILTER (priority <= 3), 0) AS DECIMAL(24,2)) AS at_risk, CAST(coalesce(sum(amount_at_risk) FILTER (rule_code = 'DISCOUNT_WINDOW'), 0) AS DECIMAL(24,2)) AS discounts, count(DISTINCT doc_id) FILTER (rule_code = 'LOW_CONFIDENCE') AS review FROM exc"),
     "A2_rule_rollup": _inv("SELECT doc_id, rule_code, found AS amount FROM rollup_found", _EXPECTED),
-    "A3_accuracy": _inv("SELECT count(DISTINCT doc_id) AS docs, count(*) AS fields, round(count(*) FILTER (ok) / greatest(count(*), 1), 6) AS field_accuracy, (SELECT count(DISTINCT doc_id) FROM exc WHERE rule_code = 'LOW_CONFIDENCE') AS review_docs FROM scored", _SCORED),
+    "A3_accuracy": _inv("SELECT (SELECT count(DISTINCT doc_id) FROM extractions) AS docs, count(*) AS fields, round(count(*) FILTER (ok) / greatest(count(*), 1), 6) AS field_accuracy, (SELECT count(DISTINCT doc_id) FROM exc WHERE rule_code = 'LOW_CONFIDENCE') AS review_docs FROM scored", _SCORED),
     "A3_review_documents": _inv("SELECT DISTINCT doc_id FROM exc WHERE rule_code = 'LOW_CONFIDENCE'"),
     "A4_planted_summary": _inv("SELECT count(*) FILTER (status = 'ok') AS planted_ok, count(*) AS planted_total FROM per_doc", _EXPECTED),
     "A5_page_confidence": _pag("SELECT 'D' || pg.k AS doc_id, CAST(pg.p + 1 AS INTEGER) AS page, " + _mean("c", 4) + " AS avg_confidence, min(c) AS min_confidence FROM pg LEFT JOIN (SELECT k, p, c FROM wd UNION ALL SELECT k, p, c FROM twd) USING (k, p) GROUP BY pg.k, pg.p"),
@@ -508,10 +515,10 @@ SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, replace(t, '[tbl-' ||
     "F2_case_trim": _inv("SELECT payment_id, upper(trim(invoice_number)) AS number_key, lower(invoice_number) AS lowered, trim(invoice_number) AS trimmed FROM payments"),
     "F3_concat_nulls": _inv("SELECT doc_id, invoice_number || ' for ' || po_number AS reference FROM truth"),
     "F4_conditionals": _inv("SELECT doc_id, coalesce(po_number, 'none') AS po, CASE WHEN bank_change_notice IS NOT NULL THEN 'notice' ELSE '' END AS notice, payment_terms LIKE '2/10%' AS discount, currency IN ('USD', 'EUR') AS known_currency, vendor_tax_id IS NULL AS no_tax FROM truth"),
-    "F5_casts": _inv("SELECT doc_id, field_name, line_no, TRY_CAST(field_value AS DECIMAL(12,2)) AS amount, CAST(trunc(TRY_CAST(field_value AS DECIMAL(12,2))) AS INTEGER) AS whole FROM misread WHERE field_name IN ('quantity', 'unit_price')", _SCORED),
+    "F5_casts": _inv("SELECT doc_id, field_name, line_no, TRY_CAST(field_value AS DECIMAL(12,2)) AS amount, TRY_CAST(trunc(TRY_CAST(field_value AS DECIMAL(12,2))) AS INTEGER) AS whole FROM misread", _SCORED),
     "F6_dates": _inv(f"SELECT doc_id, CAST(invoice_date + INTERVAL 10 DAY AS DATE) AS pay_by, {AS_OF} <= invoice_date + INTERVAL 10 DAY AS open_offer, CAST(invoice_date AS VARCHAR) AS printed FROM truth"),
     "F7_decimal_math": _inv("SELECT doc_id, line_no, CAST((unit_price - 1.25) * qty AS DECIMAL(12,2)) AS diff, CAST(amount * 0.02 AS DECIMAL(12,2)) AS two_percent FROM inv_lines"),
-    "F8_printed_variants": _inv("SELECT doc_id, field_name, line_no, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, unnest(v) AS variant FROM (SELECT doc_id, field_name, line_no, CASE field_name WHEN 'total' THEN [format('{:,.2f}', CAST(field_value AS DOUBLE)), field_value] WHEN 'quantity' THEN [field_value] ELSE [strftime(CAST(field_value AS DATE), '%m/%d/%Y'), strftime(CAST(field_value AS DATE), '%B %d, %Y'), field_value, strftime(CAST(field_value AS DATE), '%b %d, %Y')] END AS v FROM extractions WHERE field_name IN ('total', 'quantity', 'invoice_date'))"),
+    "F8_printed_variants": _inv("SELECT doc_id, field_name, line_no, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, unnest(v) AS variant FROM (SELECT doc_id, field_name, line_no, CASE WHEN field_name IN ('subtotal', 'tax', 'total', 'unit_price', 'amount') THEN [format('{:,.2f}', CAST(field_value AS DOUBLE)), field_value] WHEN field_name IN ('invoice_date', 'due_date') THEN [strftime(CAST(field_value AS DATE), '%m/%d/%Y'), strftime(CAST(field_value AS DATE), '%B %d, %Y'), field_value, strftime(CAST(field_value AS DATE), '%b %d, %Y')] ELSE [trim(field_value)] END AS v FROM extractions WHERE trim(field_value) <> '')"),
     "F9_content_lines": _pag("SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, CASE WHEN in_table THEN 'table' WHEN foot THEN 'footer' WHEN b = 0 THEN 'title' ELSE 'text' END AS type, CAST(row AS INTEGER) AS row, line FROM rows_of"),
     "F10_block_boxes": _pag("SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, type, round(100 / 1700, 4) AS x0, round(y0 / 2203, 4) AS y0, round(1600 / 1700, 4) AS x1, round(y1 / 2203, 4) AS y1 FROM blk"),
     "F11_compare_norm": _inv("SELECT doc_id, field_name, line_no, coalesce(CAST(CAST(TRY_CAST(replace(b, ',', '') AS DOUBLE) AS DECIMAL(38,2)) AS VARCHAR), lower(b), '') AS norm FROM forms", _SCORED),
@@ -520,12 +527,12 @@ SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, replace(t, '[tbl-' ||
     "F14_pipe_tables": _pag("SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, CAST(0 AS INTEGER) AS row_no, 'Item' AS item, 'Description' AS description, 'Qty' AS qty, 'Price' AS price FROM tbl UNION ALL SELECT 'D' || k, CAST(p + 1 AS INTEGER), CAST(i + 1 AS INTEGER), sku, description, CAST(quantity AS VARCHAR), format('{:,.2f}', CAST(price AS DOUBLE)) FROM item_rows"),
     "F15_safe_file_name": _pag("SELECT 'D' || k AS doc_id, CASE WHEN ends_with(lower(b), '.pdf') THEN b ELSE b || '.pdf' END AS safe_name FROM (SELECT k, left(regexp_replace(regexp_replace(line, '^.*/', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 100) AS b FROM ln WHERE n = 0)"),
     "F16_quarantine": "SELECT 'D' || doc_id || CASE WHEN source = 'src3' THEN ' x' ELSE '' END AS doc_id, CASE WHEN source = 'src3' THEN 'Invalid doc_id.' WHEN lang <> 'en' THEN 'That file isn''t a PDF.' END AS problem FROM documents",
-    "F17_label_text": _inv("SELECT doc_id, field_name, upper(field_name[1]) || replace(field_name, '_', ' ')[2:] AS label FROM extractions WHERE line_no IS NULL"),
+    "F17_label_text": _inv("SELECT doc_id, field_name, line_no, upper(field_name[1]) || replace(field_name, '_', ' ')[2:] AS label FROM extractions"),
     "F18_hash_json": _inv("SELECT doc_id, field_name, line_no, sha256(field_value) AS value_hash, CASE WHEN bbox IS NOT NULL THEN 0.1::DOUBLE END AS x0, CASE WHEN bbox IS NOT NULL THEN 0.25::DOUBLE END AS y1, CASE WHEN bbox IS NOT NULL THEN '[0.1,0.2,0.5,0.25]' END AS box_json FROM extractions"),
-    "F19_fallback_fields": _pag("SELECT 'D' || md.k AS doc_id, CAST(p + 1 AS INTEGER) AS page, trim(CASE WHEN p = 0 THEN 'Invoice No. INV-' || md.k ELSE '# ' || line END) AS vendor_name, nullif(regexp_extract(markdown, '(?i)invoice\\s*(?:#|no\\.?|number)?\\s*:?\\s*([A-Z0-9][A-Z0-9-]{2,})', 1), '') AS invoice_number FROM md LEFT JOIN (SELECT k, p, line FROM pl WHERE j = 0) USING (k, p)"),
+    "F19_fallback_fields": _pag(f"SELECT 'D' || md.k AS doc_id, CAST(p + 1 AS INTEGER) AS page, trim(CASE WHEN p = 0 THEN 'Invoice No. INV-' || md.k ELSE '# ' || line END) AS vendor_name, nullif(regexp_extract(markdown, '{LABELLED_NUMBER}', 1), '') AS invoice_number FROM md LEFT JOIN (SELECT k, p, line FROM pl WHERE j = 0) USING (k, p)"),
     # ---- incremental
-    "ST1_land_stream": "SELECT DISTINCT sha256(text) AS sha256 FROM documents",
-    "ST2_pending_stream": _inv("SELECT x.doc_id, field_name, line_no, field_value FROM extractions x JOIN files USING (doc_id) WHERE status = 'pending'"),
+    "ST1_land_stream": _FILES + "SELECT DISTINCT sha256 FROM reg",
+    "ST2_pending_stream": _pag("SELECT 'D' || vals.k AS doc_id, field_name, line_no, value AS field_value FROM vals JOIN documents d ON d.doc_id = vals.k WHERE lang <> 'de' AND source <> 'src7'", _FIELDS_WANTED),
     "ST3_review_stream": _reviewed_rules() + "SELECT doc_id, vendor_id, rule_code, detail, amount_at_risk, evidence_field FROM exc",
     "X1_extract_documents": _pag("SELECT doc_id, coalesce((SELECT trim(line) FROM ln WHERE ln.k = src.k AND n = 0), 'Unknown vendor') AS vendor_name FROM src"),
 }

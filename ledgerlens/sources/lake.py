@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.text import file_problem
+from ledgerlens.functions.text import checked_value, file_problem
 from ledgerlens.model import DOCUMENT_SCHEMAS, ERP_SCHEMAS, RESPONSE_DDL, TABLE_COMMENTS, schema
+from ledgerlens.operators.eav import check_values
 
 
 def read_erp(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -23,9 +24,12 @@ def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
 
 
 def register_files(files: DataFrame, source: str, ingested_at: Column | None = None) -> DataFrame:
-    """Rows of ``documents`` for landed files (columns ``path`` and ``content``): id is the name up to the first "_"."""
+    """Rows of ``documents`` for landed files (columns ``path`` and ``content``): id is the name up to the first "_".
+
+    Files that ``quarantine`` finds a problem with are not registered.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+    return quarantine(files).filter("problem IS NULL").select(
         F.substring_index(name, "_", 1).alias("doc_id"), name.alias("file_name"), F.col("path").alias("s3_uri"),
         F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size_bytes"), F.lit(source).alias("source"),
         (ingested_at if ingested_at is not None else F.current_timestamp()).alias("ingested_at"), F.lit("pending").alias("status"),
@@ -107,19 +111,43 @@ def mark_processed(documents: DataFrame, done: DataFrame, at: Column) -> DataFra
     return patch_by_key(documents, patch, ["doc_id"], ["status", "processed_at"])
 
 
-def apply_reviews(extractions: DataFrame, reviews: DataFrame, at: Column) -> DataFrame:
-    """Header values confirmed by a reviewer (columns doc_id, field_name, value, reviewer): certain from then on."""
-    patch = reviews.select(
-        "doc_id", "field_name", F.lit(-1).alias("line_key"), F.col("value").alias("field_value"), F.lit(1.0).alias("confidence"),
-        F.concat(F.lit("reviewed by "), "reviewer").alias("model"), at.alias("extracted_at"))
-    keyed = extractions.withColumn("line_key", F.coalesce("line_no", F.lit(-1)))
-    return patch_by_key(keyed, patch, ["doc_id", "field_name", "line_key"], ["field_value", "confidence", "model", "extracted_at"]).drop("line_key")
+REVIEWED = "reviewed by "
+
+
+def split_reviews(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviews (doc_id, field_name, value, ...) that can be stored, in stored form, and the others with their ``error``."""
+    checked = check_values(reviews)
+    refused = reviews.withColumn("error", checked_value(F.col("field_name"), F.col("value"))["error"]).filter("error IS NOT NULL")
+    return checked.filter("error IS NULL").drop("error"), refused
 
 
-def delete_by_source(documents: DataFrame, extractions: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and extractions without those of one source."""
+def apply_reviews(extractions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Header values as reviewers give them (doc_id, field_name, value, reviewer, ts, seq): certain from then on.
+
+    Values that cannot be stored change nothing. Of several reviews of a field the last by time and number counts, and one
+    that is older than the review a row already holds is passed over, so the order of arrival does not matter.
+    """
+    good, _ = split_reviews(reviews)
+    last = F.max_by(F.struct("value", "reviewer", "ts"), F.struct("ts", "seq"))
+    patch = good.groupBy("doc_id", "field_name").agg(last.alias("r")).select("doc_id", "field_name", "r", F.lit(-1).alias("line_key"))
+    joined = extractions.withColumn("line_key", F.coalesce("line_no", F.lit(-1))).join(patch, ["doc_id", "field_name", "line_key"], "left")
+    older = F.col("model").startswith(REVIEWED) & (F.col("extracted_at") > F.col("r.ts"))
+    new = F.col("r").isNotNull() & ~F.coalesce(older, F.lit(False))
+    values = {"field_value": F.col("r.value"), "confidence": F.lit(1.0), "model": F.concat(F.lit(REVIEWED), "r.reviewer"), "extracted_at": F.col("r.ts")}
+    return joined.select([F.when(new, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in extractions.columns])
+
+
+def delete_by_source(documents: DataFrame, source: str, *dependent: DataFrame) -> list[DataFrame]:
+    """The documents, and every table that depends on them by doc_id, without those of one source."""
     gone = documents.filter(F.col("source") == source).select("doc_id")
-    return documents.filter(~F.col("source").eqNullSafe(source)), extractions.join(gone, "doc_id", "left_anti")
+    return [documents.filter(~F.col("source").eqNullSafe(source)), *(d.join(gone, "doc_id", "left_anti") for d in dependent)]
+
+
+def write_queue(exceptions: DataFrame, table: str) -> int:
+    """Replace the rows of the queue's table in one statement; returns how many it has now."""
+    spark = exceptions.sparkSession
+    exceptions.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    return spark.table(table).count()
 
 
 def json_safe(df: DataFrame) -> DataFrame:

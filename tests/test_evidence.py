@@ -60,7 +60,7 @@ def test_line_fields_need_the_row_key_and_score_in_their_row(spark, tmp_path):
     got = extract(spark, tmp_path, [p0, p1], {"line_items": [{"sku": "S1", "quantity": 5}, {"sku": "S2", "quantity": 5.0}, {"sku": None, "description": "none", "quantity": 2.5}]})
     assert got["quantity", 1].page == 2 and got["quantity", 1].field_value == "5"
     assert got["quantity", 2].confidence == 0.3
-    assert got["quantity", 1].confidence is None or got["quantity", 1].confidence == 0.0  # zero falls back to the row, whose least is zero too
+    assert got["quantity", 1].confidence == 0.0  # zero falls back to the row, whose least is zero too
     assert json.loads(got["sku", 2].bbox)[1] == round((0 + 2 * (100 / 3)) / 2000, 4)
     assert got["quantity", 3].field_value == "2.5" and got["quantity", 3].page is None
     assert len(got) == 16 + 15

@@ -49,10 +49,10 @@ def test_bank_mismatch_compares_digits_and_shows_the_notice(build):
     assert row.detail.startswith("Invoice asks for payment to First acct 99-1; vendor master has First acct 004512")
 
 
-def test_digitless_tax_ids_match_each_other(build):
+def test_digitless_tax_ids_match_nothing(build):
     t = build({"A": {"vendor_tax_id": "n/a", "vendor_name": "Nobody"}}, vendors=[("V9", "X", "a", "--", "First", "0", "004512", "Net 30", "active")],
               pos=[("PO-1", "V9", None, "b", "open")])
-    assert found(t) == []
+    assert found(t) == [("A", "UNKNOWN_VENDOR")]
 
 
 def test_shared_names_fan_out_and_are_reported(build):

@@ -54,10 +54,13 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
     """Rows (what, invoice, record, source, ok) in display order for each exception.
 
     Set-based: one join of the queue to its invoices' text, written because every rule reads it, then each rule's rows
-    to their record table. Where a key has several records the first by a total order is shown.
+    to their record table. Field rows and records are cut to the queue's documents and keys before they are pivoted or
+    reduced. Where a key has several records the first by a total order is shown.
     """
     own = exceptions.withColumn("line_no", F.regexp_extract("evidence_field", r"^line:(\d+):", 1).try_cast("int"))
-    e = stage(own.drop("invoice_number").join(header_text(t["extractions"], HEADER_FIELDS), "doc_id", "left"), "queue_fields")
+    ids = stage(own.select("doc_id").distinct(), "queue_documents")
+    fields = stage(t["extractions"].join(ids, "doc_id", "left_semi").select("doc_id", "field_name", "line_no", "field_value", "confidence"), "queue_field_rows")
+    e = stage(own.drop("invoice_number").join(header_text(fields, HEADER_FIELDS), "doc_id", "left"), "queue_fields")
 
     def of(rule: str) -> DataFrame:
         return e.filter(F.col("rule_code") == rule)
@@ -79,7 +82,7 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         .otherwise(F.array().cast("array<struct<what:string,invoice:string,record:string,source:string,ok:boolean>>"))))
 
     paid = first_by_key(
-        t["payments"].select("vendor_id", code_key(F.col("invoice_number")).alias("number_key"), F.col("invoice_number").alias("p_number"),
+        t["payments"].join(of("DUPLICATE").select("vendor_id").distinct(), "vendor_id", "left_semi").select("vendor_id", code_key(F.col("invoice_number")).alias("number_key"), F.col("invoice_number").alias("p_number"),
                              "payment_id", F.col("amount").alias("p_amount"), F.col("invoice_date").alias("p_date"), "paid_date"),
         ["vendor_id", "number_key"], [F.col("payment_id"), F.col("p_number")])
     dup = rows(of("DUPLICATE").withColumn("number_key", code_key(F.col("invoice_number"))).join(paid, ["vendor_id", "number_key"], "left"), F.array(
@@ -93,12 +96,13 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False),
     ), F.col("chunk"))
 
-    lines = line_text(t["extractions"])
     on_lines = e.filter(F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT"))
+    lines = line_text(fields.join(on_lines.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
     with_line = stage(on_lines.join(lines, ["doc_id", "line_no"], "left").withColumn("po_key", code_key(F.col("po_number"))), "queue_lines")
     item = F.concat("sku", F.lit(" "), F.coalesce("description", F.lit("")))
+    keys = {r: with_line.filter(F.col("rule_code") == r).select(F.col("po_key").alias("po_number")).distinct() for r in ("PRICE_OVER_PO", "QTY_OVER_RECEIPT")}
     agreed = first_by_key(
-        t["po_lines"].select(F.col("po_number").alias("po_key"), "sku", F.col("description").alias("r_description"),
+        t["po_lines"].join(keys["PRICE_OVER_PO"], "po_number", "left_semi").select(F.col("po_number").alias("po_key"), "sku", F.col("description").alias("r_description"),
                              F.col("unit_price").alias("r_price"), F.col("qty").alias("r_qty"), F.col("line_no").alias("r_line")),
         ["po_key", "sku"], [F.col("r_line")])
     price = rows(with_line.filter("rule_code = 'PRICE_OVER_PO'").join(agreed, ["po_key", "sku"], "left"), F.array(
@@ -106,7 +110,7 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("Unit price", F.col("unit_price"), _text("r_price"), "po_lines", False),
         _row("Quantity", F.col("quantity"), _text("r_qty"), "po_lines")))
     received = first_by_key(
-        t["goods_receipts"].select(F.col("po_number").alias("po_key"), "sku", "receipt_id", "qty_received", "received_date",
+        t["goods_receipts"].join(keys["QTY_OVER_RECEIPT"], "po_number", "left_semi").select(F.col("po_number").alias("po_key"), "sku", "receipt_id", "qty_received", "received_date",
                                    F.col("line_no").alias("r_line")),
         ["po_key", "sku"], [F.col("r_line"), F.col("receipt_id")])
     qty = rows(with_line.filter("rule_code = 'QTY_OVER_RECEIPT'").join(received, ["po_key", "sku"], "left"), F.array(
@@ -120,7 +124,7 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("Invoice date", F.col("invoice_date"), F.concat(F.lit("pay by "), pay_by, F.lit(f" (today {as_of.isoformat()})")), "", True),
         _row("Savings", F.col("total"), F.format_number("amount_at_risk", 2), "", True)))
 
-    read = t["extractions"].filter("line_no IS NULL").select("doc_id", F.col("field_name").alias("evidence_field"), "field_value", "confidence")
+    read = fields.filter("line_no IS NULL").select("doc_id", F.col("field_name").alias("evidence_field"), "field_value", "confidence")
     shown = F.coalesce("confidence", F.lit(0.0)).cast("decimal(4,2)").cast("string")
     low = rows(of("LOW_CONFIDENCE").join(read, ["doc_id", "evidence_field"], "left"), F.array(
         _row(label_text(F.col("evidence_field")), F.col("field_value"), F.concat(F.lit("confidence "), shown), "extractions", False)))

@@ -36,17 +36,19 @@ def least_certain(responses: DataFrame, n: int = 15) -> DataFrame:
                                   w["start_index"].alias("start_index"), w["text"].alias("text")),
         )
 
+    def shown(w: Column) -> Column:
+        page = F.col("pages")[w["page_pos"]]
+        start = w["start_index"]
+        first = F.greatest(start - CONTEXT, F.lit(0))
+        context = F.substring(page["markdown"], first + 1, start + F.length(w["text"]) + CONTEXT - first)
+        return F.struct(
+            (page["index"] + 1).alias("page"), strip(w["text"]).alias("word"), w["confidence"].alias("confidence"),
+            F.concat(F.lit("…"), F.replace(context, F.lit("\n"), F.lit(" ")), F.lit("…")).alias("context"))
+
     worst = F.slice(F.sort_array(F.flatten(F.transform("pages", of_page))), 1, n)
-    picked = responses.withColumn("worst", worst).select("doc_id", "pages", F.posexplode("worst").alias("pos", "w"))
-    page = F.col("pages")[F.col("w.page_pos")]
-    start = F.col("w.start_index")
-    first = F.greatest(start - CONTEXT, F.lit(0))
-    context = F.substring(page["markdown"], first + 1, start + F.length("w.text") + CONTEXT - first)
-    return picked.select(
-        "doc_id", (F.col("pos") + 1).alias("rank"), (page["index"] + 1).alias("page"),
-        strip(F.col("w.text")).alias("word"), F.col("w.confidence").alias("confidence"),
-        F.concat(F.lit("…"), F.replace(context, F.lit("\n"), F.lit(" ")), F.lit("…")).alias("context"),
-    )
+    # The context is cut out before the words become rows, so no row carries the pages.
+    return responses.select("doc_id", F.posexplode(F.transform(worst, shown)).alias("pos", "w")).select(
+        "doc_id", (F.col("pos") + 1).alias("rank"), "w.page", "w.word", "w.confidence", "w.context")
 
 
 def _placeholders(markdown: Column) -> Column:

@@ -44,19 +44,16 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     own = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     rooted = own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score")
-    # steps: messages between the node and `up`, the node included; total: their scores.
+    # steps: messages from the node up to `up`, the node included; total: their scores. A null `up`: the root is reached.
     level = stage(rooted.select("tree", "node", "up", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")), "chat-up-0")
     levels = [level]
     limit = own.count()
     while (1 << (len(levels) - 1)) <= limit and not level.where("up is not null").isEmpty():
         above = level.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("total").alias("sum"))
-        level = stage(
-            level.join(above, ["tree", "up"], "left").select(
-                "tree", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-                (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"),
-            ),
-            f"chat-up-{len(levels)}",
+        climbed = level.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("sum")).alias("total")
         )
+        level = stage(climbed.unionByName(level.where("up is null")), f"chat-up-{len(levels)}")
         levels.append(level)
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = level.where("up is null").join(parents, ["tree", "node"], "left_anti")

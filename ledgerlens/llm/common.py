@@ -36,7 +36,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, remembered up to a number of words; forgetting costs time only."""
 
-    def __init__(self, remembered: int = 300_000, seed: int = 0):
+    def __init__(self, remembered: int = 100_000, seed: int = 0):
         super().__init__()
         self.remembered, self.seed = remembered, seed
 

@@ -35,16 +35,20 @@ def tokens(text: str | None) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in TOKEN((text or "").lower())]
 
 
+#: A factor for each place of a mask; odd, and without structure.
+FACTORS = [int(f) | 1 for f in mixed(np.arange(1, 1 + max(map(len, MASKS)), dtype=np.uint64))]
+
+
 def seeds(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(mask number, hashes at every position) of the masks that fit."""
+    parts = [h * np.uint64(f) for f in FACTORS]
     for m, mask in enumerate(MASKS):
         n = len(h) - len(mask) + 1
         if n > 0:
             out = np.full(n, m + 1, np.uint64)
             for k, c in enumerate(mask):
                 if c == "1":
-                    out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                    out ^= out >> np.uint64(32)
+                    out += parts[k][k : k + n]
             yield m, mixed(out)
 
 
@@ -96,26 +100,31 @@ def segments(docs: DataFrame, allowed: np.ndarray) -> DataFrame:
         number = TaskContext.get().partitionId() << 40
         for ids, texts in rows(batches):
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(ids, texts):
-                h = words.of(tokens(text))
-                at, seed = [], []
-                for _, s in seeds(h):
-                    slot = slots(s)
-                    k = np.flatnonzero(allowed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                    at.append(k)
-                    seed.append(s[k])
-                if not at or not sum(map(len, at)):
-                    continue
-                place, seed = np.concatenate(at), np.concatenate(seed)
-                order = np.argsort(place, kind="stable")
-                place, seed = place[order], seed[order]
-                for group in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place) > AROUND) + 1):
-                    start = max(0, int(place[group[0]]) - AROUND)
-                    stop = int(place[group[-1]]) + AROUND + 1
-                    hits = [{"at": int(p) - start, "seed": int(x)} for p, x in zip(place[group], seed[group].view(np.int64))]
-                    for c, v in zip(cols, (number, doc_id, start, h[start:stop].view(np.int64), hits)):
-                        c.append(v)
-                    number += 1
+            lists = [words.of(tokens(t)) for t in texts]
+            ends = np.cumsum([len(x) for x in lists])
+            h = np.concatenate(lists)  # seeds over several documents at once; those across two are dropped
+            at, seed, doc = [], [], []
+            for m, s in seeds(h):
+                slot = slots(s)
+                k = np.flatnonzero(allowed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                d = np.searchsorted(ends, k, "right")
+                inside = k + len(MASKS[m]) <= ends[d]
+                at.append(k[inside])
+                seed.append(s[k[inside]])
+                doc.append(d[inside])
+            place, seed, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, seed, doc))
+            order = np.argsort(place, kind="stable")
+            place, seed, doc = place[order], seed[order], doc[order]
+            cuts = np.flatnonzero((np.diff(place) > AROUND) | (np.diff(doc) > 0)) + 1
+            for group in np.split(np.arange(len(place)), cuts) if len(place) else ():
+                d = int(doc[group[0]])
+                begin, end = int(ends[d]) - len(lists[d]), int(ends[d])
+                start = max(begin, int(place[group[0]]) - AROUND)
+                stop = min(end, int(place[group[-1]]) + AROUND + 1)
+                hits = [{"at": int(p) - start, "seed": int(x)} for p, x in zip(place[group], seed[group].view(np.int64))]
+                for c, v in zip(cols, (number, ids[d], start - begin, h[start:stop].view(np.int64), hits)):
+                    c.append(v)
+                number += 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["segment", "doc_id", "start", "tokens", "hits"])
 

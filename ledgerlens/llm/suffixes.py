@@ -56,22 +56,29 @@ def matched(kept: DataFrame) -> DataFrame:
         kept.repartitionByRange("h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(first_of_run, RUNS),
         "suffix-runs",
     )
-    # A run of equal prefixes may begin in an earlier range. A row per range tells which: its last run, and that run's first.
+    # A run of equal prefixes may begin in an earlier range. A row per range tells which: its last run with that run's
+    # first place, and its last place.
     ends = ordered.where("edge").groupBy("part").agg(
-        F.min("h").alias("low"), F.min(F.struct(F.bitwise_not("h").alias("high"), F.col("f_doc").alias("f_doc"), F.col("f_pos").alias("f_pos"))).alias("last")
+        F.min("h").alias("low"), F.min(F.struct(F.bitwise_not("h").alias("high"), F.col("f_doc").alias("f_doc"), F.col("f_pos").alias("f_pos"))).alias("first"),
+        F.max(F.when(F.col("closing"), F.struct("p_doc", "p_pos"))).alias("last"),
     ).orderBy("part").collect()
-    begun, held = [], None
+    begun, held = [], None  # held: prefix and first place of the run that goes on, and the last place so far
     for r in ends:
         if held and held[0] == r.low:
-            begun.append((r.part, r.low, held[1], held[2]))
-        high = ~r.last.high
-        if not held or held[0] != high:
-            held = (high, r.last.f_doc, r.last.f_pos)
-    earlier = kept.sparkSession.createDataFrame(begun, "part int, h long, e_doc long, e_pos int")
+            begun.append((r.part, *held))
+        high = ~r.first.high
+        first = held[1:3] if held and held[0] == high else (r.first.f_doc, r.first.f_pos)
+        held = (high, *first, r.last.p_doc, r.last.p_pos)
+    earlier = kept.sparkSession.createDataFrame(begun, "part int, h long, e_doc long, e_pos int, l_doc long, l_pos int")
+    begins = (F.col("p_doc") == F.col("doc_id")) & (F.col("p_pos") == F.col("pos"))  # the first row of its range
     return (
         ordered.where("not closing").join(F.broadcast(earlier), ["part", "h"], "left")  # at most a row for each range
         .select("doc_id", "pos", F.inline(F.array(
-            F.struct(F.coalesce("e_doc", "f_doc").alias("f_doc"), F.coalesce("e_pos", "f_pos").alias("f_pos")), F.struct(F.col("p_doc").alias("f_doc"), F.col("p_pos").alias("f_pos"))
+            F.struct(F.coalesce("e_doc", "f_doc").alias("f_doc"), F.coalesce("e_pos", "f_pos").alias("f_pos")),
+            F.struct(
+                F.when(begins, F.coalesce("l_doc", "p_doc")).otherwise(F.col("p_doc")).alias("f_doc"),
+                F.when(begins, F.coalesce("l_pos", "p_pos")).otherwise(F.col("p_pos")).alias("f_pos"),
+            ),
         )))
         .where("f_doc <> doc_id").distinct()
     )
@@ -84,7 +91,7 @@ def first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks sorted suffixes with the first of their run of equal prefixes, and with the one before; drops the firsts.
 
     The rows of a range's first run all stay (``edge``), as its first may lie in the range before; the first of the last
-    run is given once more at the end (``closing``).
+    run is given once more at the end (``closing``), with the place of the range's last row.
     """
     part = TaskContext.get().partitionId()
     opening = None
@@ -120,7 +127,7 @@ def first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(h[keep], doc[keep], pos[keep], f_doc[keep], f_pos[keep], p_doc[keep], p_pos[keep], edge[keep], False)
     if last is not None:
         h, doc, pos = ([v] for v in last)
-        yield out(h, doc, pos, doc, pos, doc, pos, [True], True)
+        yield out(h, doc, pos, doc, pos, [before[0]], [before[1]], [True], True)
 
 
 def contexts(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:

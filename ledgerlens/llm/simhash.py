@@ -21,13 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, lower_words, rows
+from ledgerlens.llm.common import components, lower_words, mixed, rows
 from ledgerlens.session import stage
 
 BLOCK = 4096  # fingerprints of a block; a unit of work reads two blocks
 TOP_LEVELS = 12  # at most so many levels are walked by Spark
 LEAF = 64  # pairs of nodes with at most so many pairs of fingerprints are compared directly
 AT_ONCE = 1 << 20  # pairs of fingerprints that a task compares at once
+DENSE = 0.1  # when the stretches would leave more than this share of all pairs, blocks are compared without walking
+SET_DOCS, SET_SHINGLES = 128, 1 << 18  # documents and shingles of a block whose shingle sets are compared
+COLUMNS = 4096  # shingles of a block that are compared at once
 
 
 def fingerprint(text: str | None, shingle: int = 4, wide: bool = False) -> bytes:
@@ -67,14 +70,60 @@ def fingerprints(docs: DataFrame, shingle: int = 4, wide: bool = False) -> DataF
     )
 
 
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's runs of ``shingle`` words; of a shorter text, its words. No word: none."""
+    words = lower_words(text)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    runs = {b" ".join(words[k : k + shingle]) for k in range(n)}
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed words of 64 bits; a bit is set if it is set in over half of the distinct shingles' hashes."""
+    out = []
+    for salt in (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD1342543DE82EF95)):
+        set_in = np.zeros(64, np.int64)
+        for k in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(mixed(hashes[k : k + (1 << 16)] ^ salt).view(np.uint8).reshape(-1, 8), axis=1)
+            set_in += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        out.append(int.from_bytes(np.packbits(2 * set_in > len(hashes)).tobytes(), "big", signed=True))
+    return out[0], out[1]
+
+
+def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, w0, w1, same, n): fingerprint, digest and size of each row's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows(batches):
+            sets = [shingles(t, shingle) for t in texts]
+            prints = [set_fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)),
+                    pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
+                ],
+                names=["doc_id", "w0", "w1", "same", "n"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, w0 long, w1 long, same string, n long"
+    )
+
+
 def stretches(bits: int, budget: int) -> list[tuple[int, int]]:
-    """(start, length) of the stretches, none across a 64-bit word; one more than half the budget, so one error is let in."""
+    """(start, length) of the stretches, none across a 64-bit word; one more than half the budget, so one error is let in.
+
+    One stretch of 64 bits stands for no walk: for a large budget short stretches leave too many pairs, and every pair
+    of blocks is compared whole.
+    """
     parts, words = budget // 2 + 1, bits // 64
     out = []
     for w in range(words):
         own = parts // words + (w < parts % words)
         cuts = [64 * k // own for k in range(own + 1)] if own else []
         out += [(64 * w + a, b - a) for a, b in zip(cuts, cuts[1:])]
+    if sum((1 + length) / 2**length for _, length in out) > DENSE:
+        return [(0, 64)]
     return out
 
 
@@ -155,6 +204,17 @@ def compared(alo, ahi, blo, bhi) -> Iterator[tuple]:
         start = stop
 
 
+def dense(wa: list[np.ndarray], wb: list[np.ndarray], budget: int) -> Iterator[tuple]:
+    """Index pairs (i, j) within the budget, by comparing all."""
+    step = max(1, AT_ONCE // 16 // max(1, len(wb[0])))
+    for i in range(0, len(wa[0]), step):
+        d = np.bitwise_count(wa[0][i : i + step, None] ^ wb[0])
+        for x, y in zip(wa[1:], wb[1:]):
+            d += np.bitwise_count(x[i : i + step, None] ^ y)
+        a, b = np.nonzero(d <= budget)
+        yield a + i, b
+
+
 def unit_links(ids_a, wa, ids_b, wb, same: bool, start: int, length: int, depth: int, dist: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (a, b) ids, of the links between two blocks of fingerprints (``wa``: their 64-bit words)."""
 
@@ -172,7 +232,7 @@ def unit_links(ids_a, wa, ids_b, wb, same: bool, start: int, length: int, depth:
     ids_b, wb, kb = (ids_a, wa, ka) if same else ordered(ids_b, wb)
     offset = 0 if same else len(ids_a)
     label = np.arange(offset + len(ids_b))
-    for i, j in walk(ka, kb, same, depth, dist, 1, length, budget):
+    for i, j in dense(wa, wb, budget) if length == 64 else walk(ka, kb, same, depth, dist, 1, length, budget):
         if same:
             i, j = i[i < j], j[i < j]
         d = np.bitwise_count(wa[0][i] ^ wb[0][j])
@@ -194,7 +254,7 @@ def links(prints: DataFrame, budget: int = 4, bits: int = 64, name: str = "simha
     """
     nodes = prints.count()
     parts = stretches(bits, budget)
-    depth = min(TOP_LEVELS, min(length for _, length in parts), max(0, math.ceil(math.log2(max(1, nodes) / BLOCK))))
+    depth = 0 if parts == [(0, 64)] else min(TOP_LEVELS, min(length for _, length in parts), max(0, math.ceil(math.log2(max(1, nodes) / BLOCK))))
     word = [F.col("w0"), F.col("w1")]
     turned = F.array(*[
         F.struct(F.lit(k).alias("part"), (F.shiftrightunsigned(F.shiftleft(word[s // 64], s % 64), 64 - depth) if depth else F.lit(0).cast("long")).alias("at"))
@@ -259,3 +319,108 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, wide: bo
         "simhash-named",
     )
     return prints.join(named, ["w0", "w1"], "left").select("doc_id", "fingerprint", "component_id")
+
+
+def set_links(ids_a: list, a: list[np.ndarray], ids_b: list, b: list[np.ndarray], same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets, of two blocks or one, whose Jaccard similarity is at least ``least``."""
+    joined_a, joined_b = np.concatenate(a), np.concatenate(b)
+    both = np.unique(joined_a) if same else np.intersect1d(joined_a, joined_b)
+    own_a, own_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    order_a, order_b = np.argsort(joined_a, kind="stable"), np.argsort(joined_b, kind="stable")
+    sorted_a, sorted_b = joined_a[order_a], joined_b[order_b]
+    shared = np.zeros((len(a), len(b)))
+
+    def matrix(part, values, order, own, n):
+        lo, hi = np.searchsorted(values, part[0], "left"), np.searchsorted(values, part[-1], "right")
+        at = np.searchsorted(part, values[lo:hi])
+        known = part[at] == values[lo:hi]
+        m = np.zeros((n, len(part)), np.float32)
+        m[own[order[lo:hi]][known], at[known]] = 1
+        return m
+
+    for k in range(0, len(both), COLUMNS):
+        part = both[k : k + COLUMNS]
+        m = matrix(part, sorted_a, order_a, own_a, len(a))
+        shared += m @ (m if same else matrix(part, sorted_b, order_b, own_b, len(b))).T
+    whole = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b]) - shared
+    i, j = np.nonzero(shared >= least * whole - 1e-9)
+    offset = 0 if same else len(a)
+    label = np.arange(offset + len(b))
+    merge(label, i, j + offset)
+    ids = np.array(ids_a if same else [*ids_a, *ids_b], np.int64)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return ids[moved], ids[label[moved]]
+
+
+def verified(docs: DataFrame, members: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that connect the nodes of a group whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    ``members``: (node, same, n, group). Sets of a group are held in blocks of bounded size and every pair of a group's
+    blocks is compared; a unit returns a spanning forest.
+    """
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / SET_DOCS), F.ceil(F.col("total") / SET_SHINGLES))
+    wanted = stage(
+        members.join(sizes, "group")
+        .select("node", "same", "group", F.pmod(F.xxhash64("node", "same", F.lit(7)), blocks).alias("block")),
+        "simhash-wanted",
+    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, group, block, same in rows(batches):
+            sets = [shingles(t, shingle).tobytes() for t in texts]
+            ok = [k for k, s in enumerate(sets) if xxhash.xxh3_128_hexdigest(s) == same[k]]  # an id may stand for several texts
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([c[k] for k in ok], pa.int64()) for c in (group, block, ids)), pa.array([sets[k] for k in ok], pa.binary())],
+                names=["group", "block", "node", "shingles"],
+            )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node")
+    held = stage(
+        texts.select("node", "text", "group", "block", "same").mapInArrow(read, "group long, block long, node long, shingles binary")
+        .groupBy("group", "block").agg(F.collect_set(F.struct("node", "shingles")).alias("held")),
+        "simhash-sets",
+    )
+    here = held.select("group", "block")
+    there = held.select("group", F.col("block").alias("to_block"), F.col("held").alias("held_to"))
+    pairs = here.join(here.select("group", F.col("block").alias("to_block")), "group").where("block <= to_block")
+    units = (
+        pairs.join(held, ["group", "block"]).join(there, ["group", "to_block"])
+        .select("held", "held_to", (F.col("block") == F.col("to_block")).alias("same"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(cell) -> tuple[list, list[np.ndarray]]:
+            node, kept = (cell.values.field(k).to_pylist() for k in (0, 1))
+            return node, [np.frombuffer(s, np.uint64) for s in kept]
+
+        for batch in batches:
+            held, held_to, same = batch.columns
+            for k in range(batch.num_rows):
+                a, b = set_links(*sets(held[k]), *sets(held_to[k]), same[k].as_py(), least)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 32) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``; the component is the least doc_id reachable.
+
+    Documents are linked when the Jaccard similarity of their sets of ``shingle``-word runs is at least ``similarity``.
+    Fingerprints of 128 bits over these sets, at most ``budget`` of them different, group what may be linked; within a
+    group the sets themselves are compared. Of isolated pairs at a similarity of 0.8, 1 in 800 has fingerprints further
+    apart than 32 bits and is missed (by the binomial distribution), of those at 0.85 1 in 15,000.
+
+    Texts without words are linked to each other. Null texts, repeated rows, rows without doc_id and empty tables are
+    as in ``near_duplicates``.
+    """
+    prints = stage(set_prints(docs, shingle), "simhash-prints")
+    sets = stage(prints.groupBy("w0", "w1", "same", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
+    distinct = stage(sets.groupBy("w0", "w1").agg(F.min("node").alias("node")), "simhash-fingerprints")
+    near = components(links(distinct, budget, 128), "simhash-near")
+    named = distinct.join(near, "node", "left").select("w0", "w1", F.coalesce("component", "node").alias("group"))
+    members = stage(sets.join(named, ["w0", "w1"]).select("node", "same", "n", "group"), "simhash-members")
+    found = components(verified(docs, members, shingle, similarity), "simhash")
+    component = sets.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    component = stage(component.groupBy("same").agg(F.min("component_id").alias("component_id")), "simhash-named")
+    return prints.join(component, "same", "left").select("doc_id", "component_id")

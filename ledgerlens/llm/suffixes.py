@@ -8,7 +8,8 @@ suffix is matched with its neighbour and with the first document that has its pr
 diagonal are joined, and their two ends are extended word by word, left and right, in both documents. What reaches
 ``least`` words is a repeated passage.
 
-Only documents' positions are sorted and joined; the words at the ends of matches are looked up in the texts once.
+Only positions and hashes are sorted and joined; texts are read again for the runs around shared prefixes and for the
+words at the ends of matches.
 """
 
 from __future__ import annotations
@@ -130,6 +131,34 @@ def first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(h, doc, pos, doc, pos, [before[0]], [before[1]], [True], True)
 
 
+def first_windows(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    """(doc_id, pos, f_doc, f_pos): runs of ``least`` words that an earlier document has, with their first place.
+
+    Only runs around kept positions whose prefix several documents have are looked up; no other run can be repeated.
+    """
+    several = kept.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    asked = kept.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("ats"))  # at most the words of a document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for ids, texts, ats in rows(batches):
+            for doc_id, text, at in zip(ids, texts, ats):
+                h = gram_hashes(words.of(lower_words(text)), least)
+                p = np.unique(np.array(at)[:, None] - np.arange(least - PREFIX + 1))
+                p = p[(p >= 0) & (p < len(h))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[p].view(np.int64)), pa.array(np.full(len(p), doc_id, np.int64)), pa.array(p.astype(np.int32))],
+                    names=["w", "doc_id", "pos"],
+                )
+
+    windows = stage(docs.join(asked, "doc_id").select("doc_id", "text", "ats").mapInArrow(run, "w long, doc_id long, pos int"), "suffix-windows")
+    first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
+    return (
+        windows.join(first, "w").where("doc_id > first.doc_id")
+        .select("doc_id", "pos", F.col("first.doc_id").alias("f_doc"), F.col("first.pos").alias("f_pos"))
+    )
+
+
 def contexts(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
     """(doc_id, at, left, right): hashes of up to ``reach`` words before ``at``, nearest first, and from it on."""
 
@@ -162,9 +191,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     ``first_start`` of ``first_doc_id``, a document of a smaller id. ``least`` must be over PREFIX. Words are what stands
     between white space, A-Z in lower case. The smallest id of a passage's documents has no row for it, so removing all
     passages leaves one copy of each. Repeats within a document are none. A row ends where the documents differ, or
-    where another row of ``doc_id`` goes on. A repeat is found by comparing with two documents for each kept position,
-    the first and the last before ``doc_id`` that share its PREFIX words; a passage is missed only where both of these,
-    at every kept position in it, share less than ``least`` words although a third document shares more.
+    where another row of ``doc_id`` goes on. Every run of ``least`` words that an earlier document has is inside a row:
+    its hash is looked up among those of all runs around shared prefixes.
 
     ``doc_id`` is taken as unique; rows that repeat an id with its text change nothing, and other texts under one id
     are matched each. Null texts and rows without doc_id have no passages. Other columns are ignored. An empty table
@@ -173,7 +201,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     window = least - PREFIX + 1
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kept = stage(suffixes(own, window), "suffix-kept")
-    found = matched(kept)
+    found = matched(kept).unionByName(first_windows(own, kept, least)).distinct()
     line = ["doc_id", "f_doc", "shift"]
     along = Window.partitionBy(*line).orderBy("pos")
     broken = F.coalesce(F.col("pos") > F.lag("pos").over(along) + PREFIX, F.lit(True))

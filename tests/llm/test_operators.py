@@ -407,6 +407,22 @@ def test_passages_against_brute_force(spark):
     assert sum(map(len, got.values())) >= 0.995 * sum(map(len, want.values()))
 
 
+def test_passages_behind_shared_stretches(spark):
+    """Documents 4k + 1 and 4k + 3 share 52 words; the first and the one between share 49 of them only."""
+    rng, texts = random.Random(11), {}
+
+    def some(n):
+        return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+    for k in range(30):
+        stretch, rest = some(49), some(3)
+        for d in range(4):
+            texts[4 * k + d] = " ".join(some(40) + stretch + (rest if d % 2 else some(3)) + some(40))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got, want = marked(suffixes.repeated_passages(frame).collect(), texts), plain_passages(texts)
+    assert got == want
+
+
 def test_passages_of_the_data(spark, docs, texts):
     got, want = marked(LLM_QUERIES["op8_passages"](spark, SF).collect(), texts), plain_passages(texts)
     assert set(got) == {d for d in want if want[d]} and all(got[d] <= want[d] for d in got)

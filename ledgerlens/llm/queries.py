@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerlens.llm import chat, decontam, knn, language, licenses, oracle, packing, simhash, suffixes, toxicity, urls
+from ledgerlens.llm import chat, decontam, divergence, htmltext, knn, language, lexical, licenses, oracle, packing, simhash, suffixes, toxicity, urls
 from ledgerlens.llm.common import table
 from ledgerlens.session import stage
 
@@ -65,6 +65,18 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.main_text(table(spark, folder, "pages"))
+
+
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -76,6 +88,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_contaminated": op9_contaminated,
     "op10_licenses": op10_licenses,
+    "op11_divergence": op11_divergence,
+    "op12_main_text": op12_main_text,
+    "op13_search": op13_search,
     "pipeline": corpus_pipeline.run,
 }
-LLM_SQL: dict[str, str] = {"op4_chat": oracle.OP4, "op6_top_k": oracle.OP6, "op10_licenses": oracle.OP10}
+LLM_SQL: dict[str, str] = {"op4_chat": oracle.OP4, "op6_top_k": oracle.OP6, "op10_licenses": oracle.OP10, "op11_divergence": oracle.OP11, "op13_search": oracle.OP13}

@@ -26,36 +26,37 @@ LEAST_DOCUMENTS = 3  # documents of a lang that must hold a term for it to be ke
 TERM_RANKS = 200
 SCALE = 1_000_000_000
 SOURCES = 256  # sources of a text that travel with one copy of it
-HELD = 200_000  # (lang, source, term) entries a task sums up before it hands them on
+HELD = 500_000  # (lang, source, term) entries a task sums up before it hands them on
+HIGH = 64  # occurrences stand above this bit of an entry, documents below it: one look-up adds both
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their sources to (lang, source, term, occurrences, documents), summed up within the task."""
-    held: dict[tuple[str, str], list[dict]] = defaultdict(lambda: [defaultdict(int), defaultdict(int)])
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        out = [(lang, source, t.decode("utf-8", "replace"), n, docs[t]) for (lang, source), (uses, docs) in held.items() for t, n in uses.items()]
-        columns = list(zip(*out)) if out else [[]] * 5
+    held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+    size, low = 0, (1 << HIGH) - 1
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), entries in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(entries), pa.string()), pa.array([source] * len(entries), pa.string()), pa.array(entries, pa.binary()).cast(pa.string()),
+                 pa.array([e >> HIGH for e in entries.values()], pa.int64()), pa.array([e & low for e in entries.values()], pa.int64())],
+                ["lang", "source", "term", "uses", "docs"])
         held.clear()
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "source", "term", "uses", "docs"])
 
     for part in rows(batches):
         for lang, text, copies in zip(*part):
             terms = Counter(text.translate(LETTERS).split()).items()
             for copy in copies:
-                uses, docs = held[lang, copy["source"]]
-                before, n = len(uses), copy["n"]
+                entries, n = held[lang, copy["source"]], copy["n"]
+                size -= len(entries)
                 for term, k in terms:
-                    uses[term] += k * n
-                    docs[term] += n
-                size += len(uses) - before
-                if size >= HELD:
-                    yield flush()
-                    size = 0
-    yield flush()
+                    entries[term] += (k * n << HIGH) + n
+                size += len(entries)
+            if size >= HELD:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def group_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

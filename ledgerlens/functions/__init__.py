@@ -14,3 +14,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     A plain column reference would be inlined into the lambda by the optimizer and evaluated for every element.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def first_where(n: Column, test: Callable[[Column], Column]) -> Column:
+    """The first of the positions 0 to ``n`` - 1 for which ``test`` holds, by halving; ``n`` if there is none.
+
+    ``test`` must hold for every position after one for which it holds.
+    """
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.when(test(middle), F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(
+            F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(n)))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), halve)["lo"]

@@ -22,8 +22,12 @@ WHITESPACE = (
 
 
 def strip(c: Column) -> Column:
-    """Without leading and trailing whitespace of any kind (SQL ``trim`` without characters removes spaces only)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Without leading and trailing whitespace of any kind (SQL ``trim`` without characters removes spaces only).
+
+    Trimming tests each character of the text against the list, so text that neither begins nor ends with one is left out.
+    """
+    at_end = F.lit(WHITESPACE).contains(F.left(c, F.lit(1))) | F.lit(WHITESPACE).contains(F.right(c, F.lit(1)))
+    return F.when(at_end, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def digits(c: Column) -> Column:

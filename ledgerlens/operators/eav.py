@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import bind
 from ledgerlens.functions.text import canonical_value, checked_value
 from ledgerlens.model import ANNOTATION_DDL, HEADER_FIELDS, LINE_FIELDS, schema
-from ledgerlens.operators.evidence import locate
+from ledgerlens.operators.evidence import locate_values
 
 HEADER_COLUMNS = ["vendor_name", "vendor_tax_id", "invoice_number", "invoice_date", "due_date", "po_number",
                   "payment_terms", "bank_name", "bank_account", "bank_change_notice", "total"]
@@ -88,15 +88,10 @@ def extract(responses: DataFrame, extracted_at: Column | None = None) -> DataFra
 
     Reads each response once and shuffles nothing, because pages and annotation are in the same row.
     """
-    located = (
-        responses.select("doc_id", "model", F.explode(
-            bind(parsed_annotation(F.col("document_annotation")), lambda a: locate(annotation_groups(a), F.col("pages")))
-        ).alias("r"))
-    )
-    return located.select(
-        "doc_id", "r.field_name", "r.line_no", canonical_value(F.col("r.field_name"), F.col("r.value")).alias("field_value"),
-        "r.confidence", "r.page",
-        F.when(F.col("r.bbox").isNotNull(), F.concat(F.lit("["), F.array_join(F.col("r.bbox").cast("array<string>"), ", "), F.lit("]"))).alias("bbox"),
+    groups = bind(parsed_annotation(F.col("document_annotation")), annotation_groups)
+    return locate_values(responses.select("doc_id", "model", "pages", groups.alias("groups")), ["doc_id", "model"]).select(
+        "doc_id", "field_name", "line_no", canonical_value(F.col("field_name"), F.col("value")).alias("field_value"), "confidence", "page",
+        F.when(F.col("bbox").isNotNull(), F.concat(F.lit("["), F.array_join(F.col("bbox").cast("array<string>"), ", "), F.lit("]"))).alias("bbox"),
         F.lit(None).cast("string").alias("quote"), "model",
         (extracted_at if extracted_at is not None else F.current_timestamp()).alias("extracted_at"),
     )

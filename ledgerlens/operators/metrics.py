@@ -11,30 +11,50 @@ from ledgerlens.functions import bind
 from ledgerlens.model import ERP_SCHEMAS, PRICE_PER_PAGE, TABLE_COMMENTS
 
 
-def kpis(exceptions: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
-    """One row of queue figures. Each table is read once; only one-row results meet."""
+KPI_SUMS = {"processed": "bigint", "fields": "bigint", "actions": "bigint", "need_action": "bigint", "at_risk": "decimal(24,2)",
+            "discounts": "decimal(24,2)", "review": "bigint"}
+KPI_PARTS = ", ".join(f"{c} {t}" for c, t in KPI_SUMS.items())
+
+
+def _added(names: list[str]) -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast(KPI_SUMS[c]).alias(c) for c in names]
+
+
+def _queue_sums(exceptions: DataFrame, *keep: Column) -> DataFrame:
+    """One row per document with an exception: its share of the queue's figures."""
     amount = F.coalesce("amount_at_risk", F.lit(0).cast("decimal(12,2)"))
     risk = F.col("priority") <= 3
-    per_doc = exceptions.groupBy("doc_id").agg(
+    return exceptions.groupBy("doc_id", *keep).agg(
         F.count("*").alias("actions"),
-        F.max(risk.cast("int")).alias("risky"),
+        F.max(risk.cast("int")).alias("need_action"),
         F.sum(F.when(risk, amount)).alias("at_risk"),
         F.sum(F.when(F.col("rule_code") == "DISCOUNT_WINDOW", amount)).alias("discounts"),
         F.max((F.col("rule_code") == "LOW_CONFIDENCE").cast("int")).alias("review"),
     )
-    zero = F.lit(0)
 
-    def total(c: str, t: str) -> Column:
-        return F.coalesce(F.sum(c), zero).cast(t).alias(c)
 
-    queue = per_doc.agg(
-        total("actions", "bigint"), F.coalesce(F.sum("risky"), zero).cast("bigint").alias("need_action"),
-        total("at_risk", "decimal(24,2)"), total("discounts", "decimal(24,2)"), F.coalesce(F.sum("review"), zero).cast("bigint").alias("review"))
+def kpis(exceptions: DataFrame, documents: DataFrame, extractions: DataFrame) -> DataFrame:
+    """One row of queue figures. Each table is read once; only one-row results meet."""
+    queue = _queue_sums(exceptions).agg(*_added(["actions", "need_action", "at_risk", "discounts", "review"]))
     processed = documents.agg(F.count(F.when(F.col("status") == "processed", 1)).alias("v")).scalar()
     fields = extractions.agg(F.count("*").alias("v")).scalar()
     return queue.select(processed.alias("processed"), fields.alias("fields"), "actions", "need_action", "at_risk", "discounts", "review")
 
 
+def kpi_parts(exceptions: DataFrame, documents: DataFrame, extractions: DataFrame, part: Column) -> DataFrame:
+    """The same figures for each part of the documents; ``part`` is a function of doc_id, so parts add up to the whole."""
+    queue = _queue_sums(exceptions, part).drop("doc_id")
+    done = documents.select(part, (F.col("status") == "processed").cast("bigint").alias("processed"))
+    fields = extractions.groupBy(part).agg(F.count("*").alias("fields"))
+    key = queue.columns[0]
+    both = queue.unionByName(done, allowMissingColumns=True).unionByName(fields, allowMissingColumns=True)
+    return both.groupBy(key).agg(*_added(list(KPI_SUMS)))
+
+
+def kpis_of_parts(parts: DataFrame) -> DataFrame:
+    return parts.agg(*_added(list(KPI_SUMS)))
+
+
 def rule_rollup(exceptions: DataFrame) -> DataFrame:
     """Amount per document and rule; review rows depend on the reading, not on the data, and are left out."""
     return exceptions.filter(F.col("rule_code") != "LOW_CONFIDENCE").groupBy("doc_id", "rule_code").agg(

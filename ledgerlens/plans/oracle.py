@@ -6,6 +6,8 @@ its own final SELECT.
 
 from __future__ import annotations
 
+import re
+
 from ledgerlens.functions.text import LABELLED_NUMBER
 from ledgerlens.model import ACTION, RULES, TABLE_COMMENTS
 
@@ -275,7 +277,6 @@ scored AS (
   WHERE field_name IN ('vendor_name', 'invoice_number', 'invoice_date', 'due_date', 'po_number', 'payment_terms', 'bank_name', 'routing_number',
     'bank_account', 'total', 'sku', 'quantity', 'unit_price', 'amount'))
 """
-_JUDGED = "CAST(doc_id[2:] AS BIGINT) % 31 <> 4 AND CAST(doc_id[2:] AS BIGINT) % 37 <> 5"
 _EXPECTED = f"""
 , clean AS (SELECT t.*, upper(t.po_number) AS po_key, v.bank_account AS on_file FROM truth t JOIN vendors v USING (vendor_id)),
 agreed AS (SELECT po_number, sku, arg_max(unit_price, line_no) AS agreed FROM po_lines GROUP BY ALL),
@@ -299,7 +300,7 @@ rollup_found AS (SELECT doc_id, rule_code, CAST(sum(coalesce(amount_at_risk, 0))
 matched AS (
   SELECT coalesce(e.doc_id, f.doc_id) AS doc_id, coalesce(e.rule_code, f.rule_code) AS rule_code, e.amount AS expected, f.found,
     coalesce(abs(e.amount - f.found) < 0.01, false) AS ok
-  FROM (SELECT * FROM expected WHERE {_JUDGED}) e FULL OUTER JOIN (SELECT * FROM rollup_found WHERE {_JUDGED}) f ON e.doc_id = f.doc_id AND e.rule_code = f.rule_code),
+  FROM expected e FULL OUTER JOIN rollup_found f ON e.doc_id = f.doc_id AND e.rule_code = f.rule_code),
 per_doc AS (SELECT doc_id, count(expected) AS n_expected, count(found) AS n_found, CASE WHEN bool_and(ok) THEN 'ok' ELSE 'WRONG' END AS status FROM matched GROUP BY doc_id)
 """
 _QUEUE = """SELECT e.*, v.name AS vendor_name, f.source, f.file_name FROM exc e LEFT JOIN vendors v USING (vendor_id) LEFT JOIN files f USING (doc_id)"""
@@ -414,6 +415,19 @@ def _reviewed_rules() -> str:
         ",\nextractions AS (SELECT * FROM patched),\nheader AS (" + tail
 
 
+def _changed_enterprise() -> str:
+    """The rule results when some vendors and orders are on file with other values than the invoices were made from."""
+    head, tail = INVOICES.split("\niv AS (", 1)
+    changed = """
+vendors_now AS (
+  SELECT * REPLACE (CASE WHEN n % 5 = 1 THEN '7' || bank_account ELSE bank_account END AS bank_account,
+    CASE WHEN n % 5 = 2 THEN '99-' || n ELSE tax_id END AS tax_id, CASE WHEN n % 5 = 2 THEN 'Renamed ' || n ELSE name END AS name)
+  FROM (SELECT *, CAST(vendor_id[2:] AS BIGINT) AS n FROM vendors) WHERE n % 7 <> 3),
+orders_now AS (
+  SELECT * REPLACE (CASE WHEN CAST(po_number[4:] AS BIGINT) % 11 = 3 THEN 'V0' ELSE vendor_id END AS vendor_id) FROM purchase_orders),"""
+    return head + changed + "\niv AS (" + re.sub(r"\bpurchase_orders\b", "orders_now", re.sub(r"\bvendors\b", "vendors_now", tail))
+
+
 SQL: dict[str, str] = {
     # ---- scans, sources, sinks
     **{f"S1_erp_{t}": _inv(f"SELECT * FROM {t}") for t in ("vendors", "purchase_orders", "po_lines", "goods_receipts", "payments")},
@@ -534,5 +548,6 @@ SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, replace(t, '[tbl-' ||
     "ST1_land_stream": _FILES + "SELECT DISTINCT sha256 FROM reg",
     "ST2_pending_stream": _pag("SELECT 'D' || vals.k AS doc_id, field_name, line_no, value AS field_value FROM vals JOIN documents d ON d.doc_id = vals.k WHERE lang <> 'de' AND source <> 'src7'", _FIELDS_WANTED),
     "ST3_review_stream": _reviewed_rules() + "SELECT doc_id, vendor_id, rule_code, detail, amount_at_risk, evidence_field FROM exc",
+    "ST3_enterprise_stream": _changed_enterprise() + "SELECT doc_id, vendor_id, rule_code, detail, amount_at_risk, evidence_field FROM exc",
     "X1_extract_documents": _pag("SELECT doc_id, coalesce((SELECT trim(line) FROM ln WHERE ln.k = src.k AND n = 0), 'Unknown vendor') AS vendor_name FROM src"),
 }

@@ -62,3 +62,21 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores when its source has fewer splits than that (one small file); otherwise unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of a folder, as Spark's own readers and writers see it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match a pattern."""
+    fs, p = _file_system(spark, pattern)
+    return [str(s.getPath().toString()) for s in (fs.globStatus(p) or []) if s.isDirectory()]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one folder of this library's own, with what lies in it."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)

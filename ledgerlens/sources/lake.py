@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions.text import checked_value, file_problem
 from ledgerlens.model import DOCUMENT_SCHEMAS, ERP_SCHEMAS, RESPONSE_DDL, TABLE_COMMENTS, schema
 from ledgerlens.operators.eav import check_values
+from ledgerlens.session import folders, remove
 
 
 def read_erp(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -144,9 +148,25 @@ def delete_by_source(documents: DataFrame, source: str, *dependent: DataFrame) -
 
 
 def write_queue(exceptions: DataFrame, table: str) -> int:
-    """Replace the rows of the queue's table in one statement; returns how many it has now."""
+    """Rebuild the queue's table; returns how many rows it has now.
+
+    The rows are written to a folder of their own and the name is switched to it afterwards, in one step of the catalog.
+    A rebuild that fails leaves the table as it was, and a reader that has begun goes on with the version it began with:
+    that one stays until the next rebuild but one.
+    """
     spark = exceptions.sparkSession
-    exceptions.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    fields = spark.table(table).schema.fields
+    now = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type.rstrip("/")
+    base = re.sub(r"-version-\d+-[0-9a-f]+$", "", now)
+    versions = {int(v.rsplit("-version-", 1)[1].split("-")[0]): v for v in folders(spark, f"{base}-version-*")}
+    number = max(versions, default=0) + 1
+    new = f"{base}-version-{number:08d}-{uuid.uuid4().hex[:12]}"
+    exceptions.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.parquet(new)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+    spark.catalog.refreshTable(table)
+    for old in versions.values():
+        if old.rstrip("/").split("/")[-1] != now.split("/")[-1]:
+            remove(spark, old)
     return spark.table(table).count()
 
 

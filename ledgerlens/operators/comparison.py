@@ -12,7 +12,6 @@ from ledgerlens.functions.text import code_key, label_text, same_text
 from ledgerlens.model import HEADER_FIELDS, PAYMENT_DAYS
 from ledgerlens.operators.eav import header_text, line_text
 from ledgerlens.operators.numbering import numbered
-from ledgerlens.operators.queue import first_by_key
 from ledgerlens.session import stage
 
 CHUNK = 100  # order numbers in one text of a candidate list
@@ -40,96 +39,116 @@ def candidate_pos(exceptions: DataFrame, purchase_orders: DataFrame, chunk: int
 
 
 def _row(what: Column | str, invoice: Column, record: Column, source: str, ok: bool | None = None) -> Column:
-    same = same_text(invoice, record) if ok is None else F.lit(ok)
     return F.struct(
         (F.lit(what) if isinstance(what, str) else what).alias("what"), invoice.cast("string").alias("invoice"),
-        record.cast("string").alias("record"), F.lit(source).alias("source"), same.alias("ok"))
+        record.cast("string").alias("record"), F.lit(source).alias("source"), F.lit(ok).cast("boolean").alias("decided"))
 
 
 def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
+def _rows(df: DataFrame, items: Column, first: Column | None = None) -> DataFrame:
+    """The rows of each exception; whether the two sides agree is decided once they are rows."""
+    kept = ["doc_id", "rule_code", "evidence_field", "detail"]
+    listed = df.select(*kept, (F.lit(0) if first is None else first).alias("first"), F.posexplode(items).alias("pos", "r"))
+    return listed.select(
+        *kept, (F.col("pos") + F.col("first")).alias("pos"), "r.what", "r.invoice", "r.record", "r.source",
+        F.coalesce("r.decided", same_text(F.col("r.invoice"), F.col("r.record"))).alias("ok"))
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    """The key under which a record of some kind is looked up; NULL if a part is."""
+    return F.concat(F.lit(kind), *[x for p in parts for x in (F.lit("\u0001"), p)])
+
+
+def _records(t: dict[str, DataFrame]) -> DataFrame:
+    """(key, rank, r0, r1, r2): what is on file under the key of a vendor, payment, order line or receipt, as text.
+
+    Of several records of a key the first by ``rank`` counts.
+    """
+    def of(table: str, key: Column, rank: list[Column], *values: Column) -> DataFrame:
+        texts = [v.cast("string").alias(f"r{i}") for i, v in enumerate((*values, *[F.lit(None)] * (4 - len(values))))]
+        order = [F.lit(None).cast(kind).alias(f"o{i}") if i >= len(rank) or rank[i] is None else rank[i].cast(kind).alias(f"o{i}")
+                 for i, kind in enumerate(("int", "string", "string"))]
+        return t[table].select(key.alias("key"), F.struct(*order).alias("rank"), *texts)
+
+    c = F.col
+    return reduce(DataFrame.unionByName, [
+        of("vendors", _key("vendor", c("vendor_id")), [None, c("bank_account"), c("routing_number")], c("bank_name"), c("routing_number"), c("bank_account")),
+        of("payments", _key("payment", c("vendor_id"), code_key(c("invoice_number"))), [None, c("payment_id"), c("invoice_number")],
+           c("invoice_number"), c("amount"), c("invoice_date"), F.concat("payment_id", F.lit(" on "), _text("paid_date"))),
+        of("po_lines", _key("order", c("po_number"), c("sku")), [c("line_no")], c("description"), c("unit_price"), c("qty")),
+        of("goods_receipts", _key("receipt", c("po_number"), c("sku")), [c("line_no"), c("receipt_id")], c("receipt_id"), c("qty_received"), c("received_date")),
+    ])
+
+
 def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -> DataFrame:
     """Rows (what, invoice, record, source, ok) in display order for each exception.
 
-    Set-based: one join of the queue to its invoices' text, written because every rule reads it, then each rule's rows
-    to their record table. Field rows and records are cut to the queue's documents and keys before they are pivoted or
-    reduced. Where a key has several records the first by a total order is shown.
+    Set-based: the queue gets its invoices' text and the key of the record it is held against, once; all records lie
+    in one table by key, cut to the queue's keys before they are reduced to the first of each, and one join brings both
+    together. Field rows are cut to the queue's documents and lines before they are pivoted.
     """
-    own = exceptions.withColumn("line_no", F.regexp_extract("evidence_field", r"^line:(\d+):", 1).try_cast("int"))
-    ids = stage(own.select("doc_id").distinct(), "queue_documents")
-    fields = stage(t["extractions"].join(ids, "doc_id", "left_semi").select("doc_id", "field_name", "line_no", "field_value", "confidence"), "queue_field_rows")
-    e = stage(own.drop("invoice_number").join(header_text(fields, HEADER_FIELDS), "doc_id", "left"), "queue_fields")
-
-    def of(rule: str) -> DataFrame:
-        return e.filter(F.col("rule_code") == rule)
-
-    def rows(df: DataFrame, items: Column, first: Column | None = None) -> DataFrame:
-        place = F.col("pos") if first is None else F.col("pos") + F.col("first")
-        own = df.withColumn("first", F.lit(0) if first is None else first)
-        return own.select("doc_id", "rule_code", "evidence_field", "detail", "first", F.posexplode(items).alias("pos", "r")).select(
-            "doc_id", "rule_code", "evidence_field", "detail", place.alias("pos"), "r.*")
-
-    v = t["vendors"].select("vendor_id", F.col("bank_name").alias("v_bank"), F.col("routing_number").alias("v_routing"),
-                            F.col("bank_account").alias("v_account"))
+    own = exceptions.withColumn("line_no", F.regexp_extract("evidence_field", r"^line:(\d+):", 1).try_cast("int")).drop("invoice_number")
+    on_line = F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT")
+    header = header_text(t["extractions"].join(own.select("doc_id").distinct(), "doc_id", "left_semi"), HEADER_FIELDS)
+    lines = line_text(t["extractions"].join(own.filter(on_line).select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
+    order = code_key(F.col("po_number"))
+    rule = F.col("rule_code")
+    key = (
+        F.when(rule == "BANK_MISMATCH", _key("vendor", F.col("vendor_id")))
+        .when(rule == "DUPLICATE", _key("payment", F.col("vendor_id"), code_key(F.col("invoice_number"))))
+        .when(rule == "PRICE_OVER_PO", _key("order", order, F.col("sku")))
+        .when(rule == "QTY_OVER_RECEIPT", _key("receipt", order, F.col("sku"))))
+    whole = own.filter(~on_line).join(header, "doc_id", "left").unionByName(
+        own.filter(on_line).join(header, "doc_id", "left").join(lines, ["doc_id", "line_no"], "left"), allowMissingColumns=True)
+    e = stage(whole.withColumn("key", key), "queue_texts")
+
+    wanted = e.select("key").where("key IS NOT NULL").distinct()
+    first = F.min_by(F.struct("r0", "r1", "r2", "r3"), "rank").alias("r")
+    records = _records(t).join(wanted, "key", "left_semi").groupBy("key").agg(first).select("key", "r.*")
+    none = F.array().cast("array<struct<what:string,invoice:string,record:string,source:string,decided:boolean>>")
     notice = F.col("bank_change_notice")
-    bank = rows(of("BANK_MISMATCH").join(v, "vendor_id", "left"), F.concat(
-        F.array(_row("Bank", F.col("bank_name"), F.col("v_bank"), "vendors"),
-                _row("Routing (ABA)", F.col("routing_number"), F.col("v_routing"), "vendors"),
-                _row("Account", F.col("bank_account"), F.col("v_account"), "vendors")),
-        F.when(notice != "", F.array(_row("Change notice on invoice", notice, F.lit("(none on file)"), "vendors", False)))
-        .otherwise(F.array().cast("array<struct<what:string,invoice:string,record:string,source:string,ok:boolean>>"))))
-
-    paid = first_by_key(
-        t["payments"].join(of("DUPLICATE").select("vendor_id").distinct(), "vendor_id", "left_semi").select("vendor_id", code_key(F.col("invoice_number")).alias("number_key"), F.col("invoice_number").alias("p_number"),
-                             "payment_id", F.col("amount").alias("p_amount"), F.col("invoice_date").alias("p_date"), "paid_date"),
-        ["vendor_id", "number_key"], [F.col("payment_id"), F.col("p_number")])
-    dup = rows(of("DUPLICATE").withColumn("number_key", code_key(F.col("invoice_number"))).join(paid, ["vendor_id", "number_key"], "left"), F.array(
-        _row("Invoice number", F.col("invoice_number"), F.col("p_number"), "payments"),
-        _row("Amount", F.col("total"), _text("p_amount"), "payments"),
-        _row("Invoice date", F.col("invoice_date"), _text("p_date"), "payments"),
-        _row("Paid", F.lit("(this invoice)"), F.concat("payment_id", F.lit(" on "), _text("paid_date")), "payments", False)))
+    item = F.concat("sku", F.lit(" "), F.coalesce("description", F.lit("")))
+    held = e.filter("key IS NOT NULL").join(records, "key", "left").unionByName(
+        e.filter(rule.isin("BANK_MISMATCH", "DUPLICATE", "PRICE_OVER_PO", "QTY_OVER_RECEIPT") & F.col("key").isNull()), allowMissingColumns=True)
+    on_file = _rows(held, F.when(rule == "BANK_MISMATCH", F.concat(
+        F.array(_row("Bank", F.col("bank_name"), F.col("r0"), "vendors"),
+                _row("Routing (ABA)", F.col("routing_number"), F.col("r1"), "vendors"),
+                _row("Account", F.col("bank_account"), F.col("r2"), "vendors")),
+        F.when(notice != "", F.array(_row("Change notice on invoice", notice, F.lit("(none on file)"), "vendors", False))).otherwise(none)))
+        .when(rule == "DUPLICATE", F.array(
+            _row("Invoice number", F.col("invoice_number"), F.col("r0"), "payments"),
+            _row("Amount", F.col("total"), F.col("r1"), "payments"),
+            _row("Invoice date", F.col("invoice_date"), F.col("r2"), "payments"),
+            _row("Paid", F.lit("(this invoice)"), F.col("r3"), "payments", False)))
+        .when(rule == "PRICE_OVER_PO", F.array(
+            _row("Item", item, F.concat("sku", F.lit(" "), "r0"), "po_lines"),
+            _row("Unit price", F.col("unit_price"), F.col("r1"), "po_lines", False),
+            _row("Quantity", F.col("quantity"), F.col("r2"), "po_lines")))
+        .otherwise(F.array(
+            _row("Item", item, F.concat("sku", F.lit(" (receipt "), "r0", F.lit(")")), "goods_receipts", True),
+            _row("Quantity", F.col("quantity"), F.col("r1"), "goods_receipts", False),
+            _row("Received on", F.lit(""), F.col("r2"), "goods_receipts", True))))
 
     lists = candidate_pos(exceptions, t["purchase_orders"]).select("vendor_id", "chunk", "candidates")
-    no_po = rows(of("NO_PO").join(lists, "vendor_id", "left"), F.array(
+    no_po = _rows(e.filter(rule == "NO_PO").join(lists, "vendor_id", "left"), F.array(
         _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False),
     ), F.col("chunk"))
 
-    on_lines = e.filter(F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT"))
-    lines = line_text(fields.join(on_lines.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
-    with_line = stage(on_lines.join(lines, ["doc_id", "line_no"], "left").withColumn("po_key", code_key(F.col("po_number"))), "queue_lines")
-    item = F.concat("sku", F.lit(" "), F.coalesce("description", F.lit("")))
-    keys = {r: with_line.filter(F.col("rule_code") == r).select(F.col("po_key").alias("po_number")).distinct() for r in ("PRICE_OVER_PO", "QTY_OVER_RECEIPT")}
-    agreed = first_by_key(
-        t["po_lines"].join(keys["PRICE_OVER_PO"], "po_number", "left_semi").select(F.col("po_number").alias("po_key"), "sku", F.col("description").alias("r_description"),
-                             F.col("unit_price").alias("r_price"), F.col("qty").alias("r_qty"), F.col("line_no").alias("r_line")),
-        ["po_key", "sku"], [F.col("r_line")])
-    price = rows(with_line.filter("rule_code = 'PRICE_OVER_PO'").join(agreed, ["po_key", "sku"], "left"), F.array(
-        _row("Item", item, F.concat("sku", F.lit(" "), "r_description"), "po_lines"),
-        _row("Unit price", F.col("unit_price"), _text("r_price"), "po_lines", False),
-        _row("Quantity", F.col("quantity"), _text("r_qty"), "po_lines")))
-    received = first_by_key(
-        t["goods_receipts"].join(keys["QTY_OVER_RECEIPT"], "po_number", "left_semi").select(F.col("po_number").alias("po_key"), "sku", "receipt_id", "qty_received", "received_date",
-                                   F.col("line_no").alias("r_line")),
-        ["po_key", "sku"], [F.col("r_line"), F.col("receipt_id")])
-    qty = rows(with_line.filter("rule_code = 'QTY_OVER_RECEIPT'").join(received, ["po_key", "sku"], "left"), F.array(
-        _row("Item", item, F.concat("sku", F.lit(" (receipt "), "receipt_id", F.lit(")")), "goods_receipts", True),
-        _row("Quantity", F.col("quantity"), _text("qty_received"), "goods_receipts", False),
-        _row("Received on", F.lit(""), _text("received_date"), "goods_receipts", True)))
+    low = own.filter(rule == "LOW_CONFIDENCE")
+    read = t["extractions"].filter("line_no IS NULL").select("doc_id", F.col("field_name").alias("evidence_field"), "field_value", "confidence")
+    read = read.join(low.select("doc_id", "evidence_field").distinct(), ["doc_id", "evidence_field"], "left_semi")
+    shown = F.coalesce("confidence", F.lit(0.0)).cast("decimal(4,2)").cast("string")
+    uncertain = _rows(low.join(read, ["doc_id", "evidence_field"], "left"), F.array(
+        _row(label_text(F.col("evidence_field")), F.col("field_value"), F.concat(F.lit("confidence "), shown), "extractions", False)))
 
     pay_by = F.date_add(F.col("invoice_date").try_cast("date"), PAYMENT_DAYS).cast("string")
-    discount = rows(of("DISCOUNT_WINDOW"), F.array(
+    alone = _rows(e.filter(rule.isin("DISCOUNT_WINDOW", "UNKNOWN_VENDOR")), F.when(rule == "DISCOUNT_WINDOW", F.array(
         _row("Terms", F.col("payment_terms"), F.lit("2% if paid within 10 days"), "vendors", True),
         _row("Invoice date", F.col("invoice_date"), F.concat(F.lit("pay by "), pay_by, F.lit(f" (today {as_of.isoformat()})")), "", True),
-        _row("Savings", F.col("total"), F.format_number("amount_at_risk", 2), "", True)))
-
-    read = fields.filter("line_no IS NULL").select("doc_id", F.col("field_name").alias("evidence_field"), "field_value", "confidence")
-    shown = F.coalesce("confidence", F.lit(0.0)).cast("decimal(4,2)").cast("string")
-    low = rows(of("LOW_CONFIDENCE").join(read, ["doc_id", "evidence_field"], "left"), F.array(
-        _row(label_text(F.col("evidence_field")), F.col("field_value"), F.concat(F.lit("confidence "), shown), "extractions", False)))
-
-    unknown = rows(of("UNKNOWN_VENDOR"), F.array(
-        _row("Vendor", F.col("vendor_name"), F.lit("(no match)"), "vendors", False),
-        _row("Tax ID", F.col("vendor_tax_id"), F.lit("(no match)"), "vendors", False)))
-    return reduce(DataFrame.unionByName, [bank, dup, no_po, price, qty, discount, low, unknown])
+        _row("Savings", F.col("total"), F.format_number("amount_at_risk", 2), "", True))).otherwise(F.array(
+            _row("Vendor", F.col("vendor_name"), F.lit("(no match)"), "vendors", False),
+            _row("Tax ID", F.col("vendor_tax_id"), F.lit("(no match)"), "vendors", False))))
+    return reduce(DataFrame.unionByName, [on_file, no_po, uncertain, alone])

@@ -92,6 +92,7 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
     """
     own = exceptions.withColumn("line_no", F.regexp_extract("evidence_field", r"^line:(\d+):", 1).try_cast("int")).drop("invoice_number")
     on_line = F.col("rule_code").isin("PRICE_OVER_PO", "QTY_OVER_RECEIPT")
+    low, own = own.filter("rule_code = 'LOW_CONFIDENCE'"), own.filter("rule_code <> 'LOW_CONFIDENCE'")
     header = header_text(t["extractions"].join(own.select("doc_id").distinct(), "doc_id", "left_semi"), HEADER_FIELDS)
     lines = line_text(t["extractions"].join(own.filter(on_line).select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi"))
     order = code_key(F.col("po_number"))
@@ -137,7 +138,6 @@ def comparison(exceptions: DataFrame, t: dict[str, DataFrame], as_of: dt.date) -
         _row("PO number", F.coalesce(F.nullif("po_number", F.lit("")), F.lit("(none)")), F.col("candidates"), "purchase_orders", False),
     ), F.col("chunk"))
 
-    low = own.filter(rule == "LOW_CONFIDENCE")
     read = t["extractions"].filter("line_no IS NULL").select("doc_id", F.col("field_name").alias("evidence_field"), "field_value", "confidence")
     read = read.join(low.select("doc_id", "evidence_field").distinct(), ["doc_id", "evidence_field"], "left_semi")
     shown = F.coalesce("confidence", F.lit(0.0)).cast("decimal(4,2)").cast("string")

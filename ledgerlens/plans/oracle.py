@@ -428,6 +428,8 @@ orders_now AS (
     return head + changed + "\niv AS (" + re.sub(r"\bpurchase_orders\b", "orders_now", re.sub(r"\bvendors\b", "vendors_now", tail))
 
 
+_KPIS = "SELECT (SELECT count(*) FROM files WHERE status = 'processed') AS processed, (SELECT count(*) FROM extractions) AS fields, count(*) AS actions, count(DISTINCT doc_id) FILTER (priority <= 3) AS need_action, CAST(coalesce(sum(amount_at_risk) FILTER (priority <= 3), 0) AS DECIMAL(24,2)) AS at_risk, CAST(coalesce(sum(amount_at_risk) FILTER (rule_code = 'DISCOUNT_WINDOW'), 0) AS DECIMAL(24,2)) AS discounts, count(DISTINCT doc_id) FILTER (rule_code = 'LOW_CONFIDENCE') AS review FROM exc"
+
 SQL: dict[str, str] = {
     # ---- scans, sources, sinks
     **{f"S1_erp_{t}": _inv(f"SELECT * FROM {t}") for t in ("vendors", "purchase_orders", "po_lines", "goods_receipts", "payments")},
@@ -491,7 +493,7 @@ SELECT doc_id, field_name, line_no, CASE WHEN v <> '' THEN stored END AS value,
     "J20_rule_labels": _inv("SELECT doc_id, rule_code, evidence_field, detail, label, how, tone, CASE exc.priority WHEN 1 THEN '1 · Critical' WHEN 2 THEN '2 · High' WHEN 3 THEN '3 · Medium' WHEN 4 THEN 'Opportunity' ELSE 'Review' END AS priority_name FROM exc JOIN rules USING (rule_code)"),
     "J21_clean_invoices": _inv("SELECT doc_id, invoice_number, due_date, total FROM files JOIN invoice_header USING (doc_id) WHERE status = 'processed' AND doc_id NOT IN (SELECT doc_id FROM exc)"),
     # ---- aggregations
-    "A1_kpis": _inv("SELECT (SELECT count(*) FROM files WHERE status = 'processed') AS processed, (SELECT count(*) FROM extractions) AS fields, count(*) AS actions, count(DISTINCT doc_id) FILTER (priority <= 3) AS need_action, CAST(coalesce(sum(amount_at_risk) FILTER (priority <= 3), 0) AS DECIMAL(24,2)) AS at_risk, CAST(coalesce(sum(amount_at_risk) FILTER (rule_code = 'DISCOUNT_WINDOW'), 0) AS DECIMAL(24,2)) AS discounts, count(DISTINCT doc_id) FILTER (rule_code = 'LOW_CONFIDENCE') AS review FROM exc"),
+    "A1_kpis": _inv(_KPIS),
     "A2_rule_rollup": _inv("SELECT doc_id, rule_code, found AS amount FROM rollup_found", _EXPECTED),
     "A3_accuracy": _inv("SELECT (SELECT count(DISTINCT doc_id) FROM extractions) AS docs, count(*) AS fields, round(count(*) FILTER (ok) / greatest(count(*), 1), 6) AS field_accuracy, (SELECT count(DISTINCT doc_id) FROM exc WHERE rule_code = 'LOW_CONFIDENCE') AS review_docs FROM scored", _SCORED),
     "A3_review_documents": _inv("SELECT DISTINCT doc_id FROM exc WHERE rule_code = 'LOW_CONFIDENCE'"),
@@ -548,6 +550,7 @@ SELECT 'D' || k AS doc_id, CAST(p + 1 AS INTEGER) AS page, replace(t, '[tbl-' ||
     "ST1_land_stream": _FILES + "SELECT DISTINCT sha256 FROM reg",
     "ST2_pending_stream": _pag("SELECT 'D' || vals.k AS doc_id, field_name, line_no, value AS field_value FROM vals JOIN documents d ON d.doc_id = vals.k WHERE lang <> 'de' AND source <> 'src7'", _FIELDS_WANTED),
     "ST3_review_stream": _reviewed_rules() + "SELECT doc_id, vendor_id, rule_code, detail, amount_at_risk, evidence_field FROM exc",
+    "A1_kpis_kept": _changed_enterprise() + _KPIS,
     "ST3_enterprise_stream": _changed_enterprise() + "SELECT doc_id, vendor_id, rule_code, detail, amount_at_risk, evidence_field FROM exc",
     "X1_extract_documents": _pag("SELECT doc_id, coalesce((SELECT trim(line) FROM ln WHERE ln.k = src.k AND n = 0), 'Unknown vendor') AS vendor_name FROM src"),
 }

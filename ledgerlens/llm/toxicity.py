@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Document frequencies come from all documents. The terms that the vectors are made of are chosen by a chi-square test over
-a bounded sample of the labelled documents that may be learned from (``learned`` of each label), and the index holds a
-bounded part of these (``examples`` of each label), so both fit in every task. Examples are stored in blocks; for every
-term a block keeps its largest weight, which bounds the cosine of all its examples. A query reads blocks in the order
-of their bounds and stops when no further block can hold a nearer example, so its neighbours are exact.
+The examples are a bounded, documented sample of the labelled documents that may be learned from, toxic and not, with
+all of their terms; the space of the vectors is that of the examples' terms. Document frequencies come from all
+documents. A term's weight is its idf, raised for terms that a larger sample of labelled documents shows to go with one
+of the labels (by the chi-square statistic beyond what chance explains); without that, the insults of a long document
+count little beside its other words. Examples are stored in blocks; for every term a block keeps its largest weight,
+which bounds the cosine of all its examples. A query reads blocks in the order of their bounds and stops when no further
+block can hold a nearer example, so its neighbours are exact.
 
 The distance-weighted vote of the neighbours becomes a score by a logistic curve that is fitted on the votes of the
-examples themselves, each without its own vote; documents without any chosen term get the toxic share of the labelled
-documents without one. Evidence lists the neighbours.
+examples themselves, each without its own vote, and on one sure case of each label; documents without any term of the examples get the toxic share of the
+labelled documents without one. Evidence lists the neighbours.
 """
 
 from __future__ import annotations
@@ -28,86 +30,97 @@ from ledgerlens.llm.common import held_out, rows
 from ledgerlens.session import stage
 
 TERM = re.compile(r"[^\W\d_]+").findall
-PREFIX = 5  # a word of more letters also counts as its first ones
 LONGEST = 64  # a longer letter run is a term by its start and its hash
-PURE = 0.75  # of the labelled documents with a chosen term, at least this share is toxic
-COUNTED = 200_000  # terms that a task counts before it passes them on
-VOCABULARY = 1024  # terms of a vector's space, at most: those that tell most about the label
+LIFT = 2.0  # how much a term's tie to a label raises its weight
 BLOCK = 32  # examples of a block
 NEIGHBOURS = 15
+NO_TERM, ALL = -1, -2  # places in the statistics of the documents without any known term, and of all documents
 
 
 def terms(text: str | None) -> dict[str, int]:
-    """Letter runs in lower case, and the first PREFIX letters (marked *) of longer ones, with their counts."""
+    """Letter runs in lower case, with their counts."""
     words = Counter(TERM((text or "").lower()))
-    found: dict[str, int] = {}
-    for w, n in words.items():
-        if len(w) > PREFIX:
-            start = w[:PREFIX] + "*"
-            found[start] = found.get(start, 0) + n
-            if len(w) > LONGEST:
-                w = w[:LONGEST] + str(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
-        found[w] = n
-    return found
+    for w in [w for w in words if len(w) > LONGEST]:
+        words[w[:LONGEST] + str(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))] = words.pop(w)
+    return words
 
 
-def term_statistics(learn: DataFrame) -> DataFrame:
-    """(term, labelled, toxic): numbers of documents with the term among ``learn`` (text, y). Tasks count first."""
+def example_terms(texts: DataFrame) -> DataFrame:
+    """(doc_id, y, found, n): the terms of each row's text, sorted, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Counter = Counter()
-        toxic: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(known)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (known, toxic))],
-                names=["term", "labelled", "toxic"],
+        for ids, ys, held in rows(batches):
+            counts = [sorted(terms(x).items()) for x in held]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([[t for t, _ in c] for c in counts], pa.list_(pa.string())),
+                 pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))],
+                names=["doc_id", "y", "found", "n"],
             )
 
+    return texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, found array<string>, n array<int>")
+
+
+def term_statistics(docs: DataFrame, places: dict[str, int]) -> DataFrame:
+    """(place, documents, labelled, toxic): numbers of rows of ``docs`` (text, y) with each known term. Tasks count first.
+
+    A null ``y`` marks a row that is not in the labelled sample. NO_TERM and ALL are counted like terms.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = held.value
+        counts = np.zeros((len(places) + 2, 3), np.int64)
         for texts, ys in rows(batches):
             for text, y in zip(texts, ys):
-                own = terms(text).keys()
-                known.update(own)
-                if y:
-                    toxic.update(own)
-            if len(known) > COUNTED:
-                yield out()
-                known.clear()
-                toxic.clear()
-        yield out()
+                own = [p for t in terms(text) if (p := places.get(t)) is not None] or [NO_TERM]
+                counts[own + [ALL], : 1 if y is None else 2 + y] += 1
+        at = np.flatnonzero(counts[:, 0])
+        place = np.where(at < len(places), at, at - len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(counts[at, k]) for k in range(3))], names=["place", "documents", "labelled", "toxic"])
+
+    counted = docs.select("text", "y").mapInArrow(run, "place long, documents long, labelled long, toxic long")
+    return counted.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("documents", "labelled", "toxic")))
 
-    counted = learn.select("text", "y").mapInArrow(run, "term string, labelled long, toxic long")
-    return counted.groupBy("term").agg(F.sum("labelled").alias("labelled"), F.sum("toxic").alias("toxic"))
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[i], ..., starts[i] + sizes[i] - 1 of all i, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in blocks, with each block's largest weight of each term."""
+    """Examples as unit TF-IDF vectors in posting lists cut into blocks, with each block's largest weight of each term."""
 
-    def __init__(self, idf: dict[str, float], ids: list, labels: list[int], counts: list[dict[str, int]]):
-        self.place = {t: k for k, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()), np.float64)
+    def __init__(self, weights: dict[str, float], ids: list, labels: list[int], counts: list[dict[str, int]]):
+        self.place = {t: k for k, t in enumerate(weights)}
+        self.weight = np.array(list(weights.values()), np.float64)
         vectors = [self.vector(c) for c in counts]
         # Examples with the same strongest term stand together, so that blocks differ and bounds are tight.
-        order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][vectors[k][1].argmax()]), -float(vectors[k][1].max()), labels[k], ids[k]))
+        strongest = [(int(at[w.argmax()]), -float(w.max())) if len(at) else (-1, 0.0) for at, w in vectors]
+        order = sorted(range(len(ids)), key=lambda k: (strongest[k], labels[k], ids[k]))
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.labels = np.array([labels[k] for k in order], np.int64)
-        blocks = -(-len(order) // BLOCK)
-        weights = np.zeros((len(self.idf), blocks * BLOCK))
-        for e, k in enumerate(order):
-            weights[vectors[k][0], e] = vectors[k][1]
-        # Posting lists in blocks: for a term, its weight in every example of a block; and the largest of them.
-        self.largest = weights.reshape(len(self.idf), blocks, BLOCK).max(axis=2)
-        self.postings = {}
-        for t in range(len(self.idf)):
-            for b in np.flatnonzero(self.largest[t]):
-                self.postings[t, int(b)] = weights[t, b * BLOCK : (b + 1) * BLOCK].copy()
+        self.blocks = -(-len(order) // BLOCK)
+        sizes = [len(vectors[k][0]) for k in order]
+        term = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0, np.int64)])
+        example = np.repeat(np.arange(len(order)), sizes)
+        sort = np.lexsort((example, term))
+        # Postings by term, then example; a cell is the postings of a term in a block.
+        self.example = example[sort].astype(np.int32)
+        self.posted = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])[sort]
+        key = term[sort] * max(1, self.blocks) + self.example // BLOCK
+        self.cell_start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.cell_size = np.diff(self.cell_start, append=len(key))
+        self.cell_block = key[self.cell_start] % max(1, self.blocks)
+        self.cell_most = np.maximum.reduceat(self.posted, self.cell_start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(key[self.cell_start], np.arange(len(self.weight) + 1) * max(1, self.blocks))  # of a term's cells
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights (1 + log of the count, times idf, of length 1) of the known terms."""
-        known = [(self.place[t], n) for t, n in counts.items() if t in self.place]
+        """Places and weights (1 + log of the count, times the term's weight, of length 1) of the known terms."""
+        place = self.place
+        known = [(p, n) for t, n in counts.items() if (p := place.get(t)) is not None]
         at = np.array([p for p, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.idf[at]
+        w = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.weight[at]
         return at, w / max(float(np.sqrt((w * w).sum())), 1e-300)
 
     def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
@@ -115,26 +128,40 @@ class Index:
         at, w = self.vector(counts)
         if not len(at) or not len(self.ids):
             return []
-        bounds = w @ self.largest[at]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
+        per = self.first[at + 1] - self.first[at]
+        cells = ranges(self.first[at], per)
+        block, weight = self.cell_block[cells], np.repeat(w, per)
+        bounds = np.bincount(block, weight * self.cell_most[cells], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        best = np.zeros(0, np.int64)
+        cosine = np.zeros(len(self.ids))
+        start, step = 0, 1
+        while start < len(order):  # one block, then twice as many each time, as long as one can hold a nearer example
+            least = cosine[best[-1]] - 1e-9 if len(best) == k else 0.0
+            some = order[start : start + step]
+            some = some[(bounds[some] > 0) & (bounds[some] >= least)]
+            if not len(some):
                 break
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                if (p := self.postings.get((int(t), int(b)))) is not None:
-                    cosine += x * p
-            first = int(b) * BLOCK
-            for e in np.flatnonzero(cosine[: len(self.ids) - first] > 0):
-                if self.ids[first + e] != without:
-                    best.append((round(float(cosine[e]), 9), int(self.ids[first + e]), int(self.labels[first + e])))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            read = np.zeros(self.blocks, bool)
+            read[some] = True
+            mine = read[block]
+            own = cells[mine]
+            sizes = self.cell_size[own]
+            posts = ranges(self.cell_start[own], sizes)
+            got = np.bincount(self.example[posts], np.repeat(weight[mine], sizes) * self.posted[posts], len(self.ids)).round(9)
+            new = np.flatnonzero(got > 0)
+            if without is not None:
+                new = new[self.ids[new] != without]
+            cosine[new] = got[new]
+            best = np.concatenate((best, new))
+            best = best[np.lexsort((self.ids[best], -cosine[best]))][:k]
+            start, step = start + step, 2 * step
+        return [(float(cosine[e]), int(self.ids[e]), int(self.labels[e])) for e in best]
 
 
 def vote(near: list[tuple[float, int, int]]) -> float:
-    """The toxic share of the neighbours, weighted by the inverse of the distance 1 - cosine."""
-    weights = [1.0 / (0.05 + 1.0 - c) for c, _, _ in near]
+    """The toxic share of the neighbours, weighted by the inverse square of the distance 1 - cosine."""
+    weights = [1.0 / (0.05 + 1.0 - c) ** 2 for c, _, _ in near]
     return sum(w * y for w, (_, _, y) in zip(weights, near)) / sum(weights)
 
 
@@ -154,7 +181,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 class Model:
-    """The index, the curve from votes to scores, and the score of documents without any chosen term."""
+    """The index, the curve from votes to scores, and the score of documents without any term of the examples."""
 
     def __init__(self, index: Index, curve: tuple[float, float], plain: float):
         self.index, self.curve, self.plain = index, curve, plain
@@ -167,26 +194,35 @@ class Model:
         return 1 / (1 + math.exp(-(a + b * vote(near)))), near
 
 
-def found_terms(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, found): the vocabulary's terms in each row's text and their counts."""
-    words = frozenset(vocabulary)
-    kind = pa.list_(pa.struct([("t", pa.string()), ("n", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches):
-            found = [[{"t": t, "n": n} for t, n in sorted((t, n) for t, n in terms(x).items() if t in words)] for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], names=["doc_id", "found"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<struct<t:string,n:int>>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, learned: int = 16_384, examples: int = 1024) -> tuple[Model, DataFrame]:
-    """A model, and ``found_terms`` of all of ``docs`` for it.
+def chosen_examples(docs: DataFrame, sample: DataFrame, examples: int, letters: int) -> DataFrame:
+    """(doc_id, y, text): of each label at most ``examples`` documents of the sample, of at most ``letters`` characters in all.
 
-    Learns from the documents with a label 0 or 1 that are not held out: at most ``learned`` of each label choose the
-    terms, at most ``examples`` of each are in the index, both those of the smallest hash of the id. Results are weighted
-    by the labels' true shares. Documents with several labels count as toxic if one says so. Without labels every score
-    is 0.5.
+    They are taken in the order of a hash of the id; one that would go beyond ``letters`` is passed over. Of rows that
+    share a doc_id the one of the longest text (then the greatest) is taken.
+    """
+    size = F.coalesce(F.length("text"), F.lit(0))
+    # At most 2 * learned rows of 16 bytes: small enough to go to every task, so no text is shuffled.
+    sized = (
+        docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max(size).alias("size")).where("size > 0")
+        .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    )
+    picked, left, number = [], {0: letters, 1: letters}, Counter()
+    for r in sized:
+        if number[r.y] < examples and r["size"] <= left[r.y]:
+            number[r.y] += 1
+            left[r.y] -= r["size"]
+            picked.append((r.doc_id, r.y))
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, y int")
+    return docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max(F.struct(size, "text")).alias("most")).select("doc_id", "y", "most.text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, learned: int = 16_384, examples: int = 1024, letters: int = 4_000_000) -> Model:
+    """A model for ``docs``.
+
+    Learns from the documents with a label 0 or 1 that are not held out: at most ``learned`` of each label raise the
+    terms' weights, and of these at most ``examples`` of each, with at most ``letters`` characters in all, are in the
+    index, those of the smallest hash of the id. Results are weighted by the labels' true shares. Documents with several
+    labels count as toxic if one says so. Without labels every score is 0.5.
     """
     y = (
         labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
@@ -195,68 +231,61 @@ def fit(docs: DataFrame, labels: DataFrame, learned: int = 16_384, examples: int
     known = stage(docs.select("doc_id").join(y, "doc_id").distinct(), "toxic-known")
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if not share:
-        return Model(Index({}, [], [], []), (0.0, 0.0), 0.5), found_terms(docs, [])
+        return Model(Index({}, [], [], []), (0.0, 0.0), 0.5)
     firsts = [known.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(learned) for label in (0, 1)]
     sample = stage(firsts[0].unionByName(firsts[1]), "toxic-sample")
-    n = {r.y: float(r["count"]) for r in sample.groupBy("y").count().collect()}
+    held = stage(example_terms(chosen_examples(docs, sample, examples, letters)), "toxic-examples").orderBy("doc_id").toArrow()
+    ids, ys = held["doc_id"].to_pylist(), held["y"].to_pylist()
+    counts = [dict(zip(t, n)) for t, n in zip(held["found"].to_pylist(), held["n"].to_pylist())]
+    vocabulary = sorted(set().union(*counts))
+    statistics = term_statistics(docs.join(F.broadcast(sample), "doc_id", "left"), {t: k for k, t in enumerate(vocabulary)})
+    table = np.zeros((len(vocabulary) + 2, 3))  # a row for each term of the examples, NO_TERM and ALL at the end
+    for r in statistics.collect():
+        table[r.place] = r.documents, r.labelled, r.toxic
+    number, seen, toxic_seen = table[ALL]
+    n = np.array([max(1.0, seen - toxic_seen), max(1.0, toxic_seen)])
+    a, b = table[:-2, 2], table[:-2, 1] - table[:-2, 2]
+    chi = n.sum() * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / (n[0] * n[1] * np.maximum(a + b, 1) * np.maximum(n.sum() - a - b, 1))
+    chance = 2 * math.log(max(3, len(vocabulary))) + 6  # what about no term reaches by chance
+    idf = np.log((1 + number) / (1 + table[:-2, 0])) + 1
+    index = Index(dict(zip(vocabulary, (idf * (1 + LIFT * np.sqrt(np.maximum(0, chi - chance)))).tolist())), ids, ys, counts)
+    total = sum(share.values())
     weight = {label: share[label] / n[label] for label in share}
-    # At most 2 * learned rows of 16 bytes: small enough to go to every task, so no text is shuffled.
-    statistics = stage(term_statistics(docs.join(F.broadcast(sample), "doc_id")), "toxic-terms")
-    a, n1, n0 = F.col("toxic"), F.lit(n.get(1, 1.0)), F.lit(n.get(0, 1.0))
-    b = F.col("labelled") - a
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
-    least = 2 * math.log(max(3, statistics.count())) + 6  # so that about none of all terms passes by chance
-    real = a * weight.get(1, 1.0)
-    chosen = [
-        r.term for r in statistics.where("labelled >= 3").withColumn("chi", chi)
-        .where((F.col("chi") >= least) & (real >= PURE * (real + b * weight.get(0, 1.0) + 1)))
-        .orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()
-    ]
-    found = stage(found_terms(docs, chosen), "toxic-found")
-    number = found.count()
-    seen = {r.t: r["count"] for r in found.select(F.explode("found.t").alias("t")).groupBy("t").count().collect()}  # a row per chosen term
-    idf = {t: math.log((1 + number) / (1 + seen.get(t, 0))) + 1 for t in chosen}
-    marked = stage(found.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "found", F.size("found").alias("n")).dropDuplicates(["doc_id"]), "toxic-learn")
-    empty = {r.y: r["count"] for r in marked.where("n = 0").groupBy("y").count().collect()}
-    plain1, plain0 = (empty.get(label, 0) * weight.get(label, 1.0) for label in (1, 0))
-    plain = (plain1 + share.get(1, 0) / sum(share.values())) / (plain1 + plain0 + 1)
-    held = []
-    for label in (0, 1):
-        held += marked.where((F.col("n") > 0) & (F.col("y") == label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()
-    having = {r.y: r["count"] * weight[r.y] for r in marked.where("n > 0").groupBy("y").count().collect()}
-    counts = [{f.t: f.n for f in r.found} for r in held]
-    index = Index(idf, [r.doc_id for r in held], [r.y for r in held], counts)
-    votes, ys, weights = [], [], []
-    for r, c in zip(held, counts):
-        if near := index.nearest(c, without=r.doc_id):
+    none1, none0 = table[NO_TERM, 2] * weight.get(1, 1.0), (table[NO_TERM, 1] - table[NO_TERM, 2]) * weight.get(0, 1.0)
+    plain = (none1 + share.get(1, 0) / total) / (none1 + none0 + 1)
+    having = Counter(ys)
+    votes, truth, weights = [0.0, 1.0], [0, 1], [1.0, 1.0]  # a sure case of each label: copies count even where no examples are alike
+    for doc_id, label, c in zip(ids, ys, counts):
+        if near := index.nearest(c, without=doc_id):
             votes.append(vote(near))
-            ys.append(r.y)
-            weights.append(having[r.y] / sum(x.y == r.y for x in held))
-    curve = logistic(np.array(votes), np.array(ys, float), np.array(weights)) if votes else (math.log((plain + 1e-9) / (1 - plain + 1e-9)), 0.0)
-    return Model(index, curve, plain), found
+            truth.append(label)
+            weights.append(share[label] / having[label])
+    return Model(index, logistic(np.array(votes), np.array(truth, float), np.array(weights)), plain)
 
 
-def score(found: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_terms, evidence) for every row of ``found_terms``.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, n_terms, evidence) for every row of ``docs`` (doc_id, text).
 
-    ``evidence``: the neighbours' ids, cosines and labels, nearest first. The model is sent to the tasks once; its size
-    is bounded by the vocabulary and the number of examples. Labels, languages and sources play no part.
+    ``n_terms``: how many terms of the examples the text has. ``evidence``: the neighbours' ids, cosines and labels,
+    nearest first. The model is sent to the tasks once; its size is bounded by the examples' number and characters.
+    Labels, languages and sources play no part.
     """
-    held = found.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, score double, n_terms int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for ids, found in rows(batches):
-            scored = [model.score({f["t"]: f["n"] for f in x}) for x in found]
+        for ids, texts in rows(batches):
+            found = [{t: n for t, n in terms(x).items() if t in model.index.place} for x in texts]
+            scored = [model.score(c) for c in found]
             evidence = [[{"doc_id": d, "cosine": c, "label": y} for c, d, y in near] for _, near in scored]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([s for s, _ in scored], pa.float64()), pa.array([len(x) for x in found], pa.int32()), pa.array(evidence, kind)],
+                [pa.array(ids, pa.int64()), pa.array([s for s, _ in scored], pa.float64()), pa.array([len(c) for c in found], pa.int32()), pa.array(evidence, kind)],
                 names=["doc_id", "score", "n_terms", "evidence"],
             )
 
-    return found.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -267,7 +296,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     are scored alike. Other columns are ignored. An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model, found = fit(own, labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")))
-    return score(found, model).select(
+    model = fit(own, labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")))
+    return score(own, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_terms", "evidence"
     )

@@ -304,6 +304,30 @@ def test_nearest_examples_are_exact():
     assert index.nearest({"unknown": 1}) == []
 
 
+def test_copies_of_labelled_texts_score_like_them(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(120)]  # no term is shared, so none tells about a label
+    labelled = [k for k in range(120) if zlib.crc32(str(k).encode()) % 4 != 2]
+    toxic = {k: int(n % 3 == 0) for n, k in enumerate(labelled)}
+    found = toxicity.toxicity(
+        documents(spark, texts + [texts[k] for k in labelled]), spark.createDataFrame([(k, 1, y) for k, y in toxic.items()], "doc_id long, quality int, toxic int")
+    )
+    got = {r.doc_id: r for r in found.collect()}
+    for n, k in enumerate(labelled):
+        copy = got[120 + n]
+        assert copy.predicted == toxic[k] and copy.evidence[0].doc_id == k and copy.evidence[0].cosine == 1
+
+
+def test_examples_keep_to_their_bounds(spark):
+    docs = documents(spark, ["a" * (k + 1) for k in range(40)])
+    sample = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, y int")
+    some = toxicity.chosen_examples(docs, sample, examples=5, letters=100).collect()
+    for label in (0, 1):
+        own = [len(r.text) for r in some if r.y == label]
+        assert 0 < len(own) <= 5 and sum(own) <= 100
+
+
 def test_toxicity_odd_cases(spark, odd, empty, labels):
     assert toxicity.toxicity(odd, labels).count() == odd.count()
     assert toxicity.toxicity(empty, labels).count() == 0

@@ -23,11 +23,20 @@ from ledgerlens.llm.common import WordHashes, mixed, rows
 from ledgerlens.session import stage
 
 TOKEN = re.compile(r"[^\W_]+").findall
-#: Which tokens of a stretch count. The last is contiguous, for items shorter than the others.
-MASKS = ("1101100111", "1110010111", "11011010011", "1100101110011", "11111111")
+#: (tokens of an item, masks): which tokens of a stretch count, for items from so many tokens on. Chosen by enumeration: a
+#: whole item of fewer than 13 tokens, and a stretch of 13 tokens or more of another, with at most a fifth substituted
+#: has every counted token of one of its masks in one place at least. (A longer stretch has one of 13 to 25 tokens in it
+#: that is as equal, so these need not be enumerated.) One token of up to 4 may not be substituted, so these need no more.
+CLASSES = (
+    (1, ("1",)),
+    (2, ("11",)),
+    (5, ("111", "1101")),
+    (8, ("111011", "11001011", "10100111")),
+    (13, ("1111011", "110000010111", "1110001011", "1100110101")),
+)
+MASKS = tuple(mask for _, masks in CLASSES for mask in masks)
 AROUND = 64  # tokens on either side of a hit that are kept for the overlap
 FILTER_BITS = 26  # the filter has 2 ** 26 bits, 8 MB, whatever the benchmark
-SHORTEST = 8  # items of fewer tokens are not looked for
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -39,10 +48,17 @@ def tokens(text: str | None) -> list[bytes]:
 FACTORS = [int(f) | 1 for f in mixed(np.arange(1, 1 + max(map(len, MASKS)), dtype=np.uint64))]
 
 
-def seeds(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, hashes at every position) of the masks that fit."""
-    parts = [h * np.uint64(f) for f in FACTORS]
-    for m, mask in enumerate(MASKS):
+def masks_for(n: int) -> tuple[int, ...]:
+    """Numbers of the masks for an item of ``n`` tokens."""
+    own = [masks for least, masks in CLASSES if n >= least]
+    return tuple(MASKS.index(m) for m in own[-1]) if own else ()
+
+
+def seeds(h: np.ndarray, which: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """(mask number, hashes at every position) of those masks of ``which`` that fit."""
+    parts = [h * np.uint64(f) for f in FACTORS[: max((len(MASKS[m]) for m in which), default=0)]]
+    for m in which:
+        mask = MASKS[m]
         n = len(h) - len(mask) + 1
         if n > 0:
             out = np.full(n, m + 1, np.uint64)
@@ -63,7 +79,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for ids, lists in rows(batches):
             for item_id, held in zip(ids, lists):
                 h = np.array(held, np.int64).view(np.uint64)
-                for _, s in seeds(h):
+                for _, s in seeds(h, masks_for(len(h))):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(s), item_id, np.int64)), pa.array(np.arange(len(s)), pa.int32()), pa.array(s.view(np.int64)), pa.array(slots(s))],
                         names=["item_id", "at", "seed", "slot"],
@@ -87,11 +103,11 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, allowed: np.ndarray) -> DataFrame:
+def segments(docs: DataFrame, allowed: np.ndarray, which: tuple[int, ...]) -> DataFrame:
     """(segment, doc_id, start, tokens, hits): stretches of documents around seeds that the filter lets through.
 
     Stretches of a document do not overlap by more than what is kept around hits; ``hits`` holds (at, seed), ``at`` from
-    the start of the stretch.
+    the start of the stretch. ``which``: the masks of the items.
     """
     held = docs.sparkSession.sparkContext.broadcast(allowed)
 
@@ -104,7 +120,7 @@ def segments(docs: DataFrame, allowed: np.ndarray) -> DataFrame:
             ends = np.cumsum([len(x) for x in lists])
             h = np.concatenate(lists)  # seeds over several documents at once; those across two are dropped
             at, seed, doc = [], [], []
-            for m, s in seeds(h):
+            for m, s in seeds(h, which):
                 slot = slots(s)
                 k = np.flatnonzero(allowed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 d = np.searchsorted(ends, k, "right")
@@ -166,8 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
     From token ``start`` of the document, ``n_tokens >= least`` tokens (or a whole shorter item's) are equal to an item's but for
     substitutions, with ``n_equal / n_tokens >= share``; up to AROUND tokens on either side of a hit. Of several overlaps of a
-    document with an item at one place the longest is given. Items of fewer than SHORTEST tokens and null texts are
-    looked for nowhere. Rows without doc_id or item_id are left out; repeated rows change nothing; other columns are
+    document with an item at one place the longest is given. Items
+    without a token and null texts are looked for nowhere; the masks are proven for ``least`` of 13 and ``share`` of 0.8 or more. Rows without doc_id or item_id are left out; repeated rows change nothing; other columns are
     ignored; empty tables give an empty result.
     """
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -180,11 +196,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 
     items = stage(
         benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(hashed, "item_id long, item array<long>").where(F.size("item") >= SHORTEST).dropDuplicates(),
+        .mapInArrow(hashed, "item_id long, item array<long>").where(F.size("item") > 0).dropDuplicates(),
         "decontam-items",
     )
     known = stage(item_seeds(items.select("item_id", "item")), "decontam-seeds")
-    near = stage(segments(own, seed_filter(known)), "decontam-segments")
+    sizes = [r.n for r in items.select(F.least(F.size("item"), F.lit(CLASSES[-1][0])).alias("n")).distinct().collect()]  # at most 13
+    which = tuple(sorted({m for n in sizes for m in masks_for(n)}))
+    near = stage(segments(own, seed_filter(known), which), "decontam-segments")
     hits = near.select("segment", F.inline("hits")).withColumnRenamed("at", "place")
     pairs = stage(
         hits.join(known.select("seed", "item_id", "at"), "seed")

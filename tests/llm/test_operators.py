@@ -1,6 +1,7 @@
 """Each operator against brute force, SQL, a round trip or held-out labels, and on the odd cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -272,6 +273,23 @@ def test_long_reply_chain(spark):
     assert r.formatted == "".join(f"<s>[user]{k}</s>" for k in range(1, 301))
 
 
+def test_long_conversation_reads_back(spark):
+    said = [f"\U0001f600 <{k}> & [x]" * (1 + k % 3) for k in range(6000)]
+    rows = [(1, k, "assistant" if k % 2 else "user", x) for k, x in enumerate(said)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.formatted(frame.select(F.col("conv_id").alias("tree"), F.col("turn").alias("depth"), "role", "text"), ["tree"])).collect()
+    assert r.n_turns == 6000 and r.loss_sha256 == hashlib.sha256("".join(said[1::2]).encode()).hexdigest()
+
+
+def test_best_branches_of_a_wide_tree(spark):
+    scores = [(7 * k) % 1000 / 10 for k in range(1000)]
+    rows = [(1, 0, None, "user", "q", 0.0)] + [(1, k + 1, 0, "assistant", f"a{k}", s) for k, s in enumerate(scores)]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = {r["rank"]: r.formatted for r in chat.conversations(frame, paths=5).collect()}
+    best = sorted(range(1000), key=lambda k: (-scores[k], k))[:5]
+    assert got == {n + 1: f"<s>[user]q</s><s>[assistant]a{k}</s>" for n, k in enumerate(best)}
+
+
 # Toxicity
 
 
@@ -486,23 +504,32 @@ def test_passages_odd_cases_and_cutting(spark, odd, empty):
 
 
 def plain_overlap(doc, item, least, share):
-    """Whether some alignment has a stretch of ``least`` tokens or more, equal at both ends, equal enough, and with a seed in it."""
+    """Whether some alignment has a stretch of ``least`` tokens or more, equal at both ends and equal enough."""
     need = min(least, len(item))
     for shift in range(-len(item) + 1, len(doc)):
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
         same = [doc[q + shift] == item[q] for q in range(lo, hi)]
-        fits = lambda p, m: all(c == "0" or same[p + i] for i, c in enumerate(m))
-        if any(fits(p, m) for m in decontam.MASKS for p in range(len(same) - len(m) + 1)) and any(
+        if any(
             same[i] and same[j - 1] and sum(same[i:j]) >= share * (j - i) - 1e-9 for i in range(len(same)) for j in range(i + need, len(same) + 1)
         ):
             return True
     return False
 
 
+@pytest.mark.parametrize("n", range(1, 26))
+def test_masks_miss_no_substitutions(n):
+    """Every way to substitute a fifth of n tokens leaves a place for a mask; in parts of longer stretches also at the ends."""
+    places = range(n) if n >= 13 else range(1, n - 1)
+    fits = [sum(1 << (p + k) for k, c in enumerate(decontam.MASKS[m]) if c == "1") for m in decontam.masks_for(n) for p in range(n - len(decontam.MASKS[m]) + 1)]
+    for cut in itertools.combinations(places, n // 5):
+        gone = sum(1 << p for p in cut)
+        assert any(not f & gone for f in fits), cut
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefghij", k=4))
-    items = {k: [word() for _ in range(n)] for k, n in enumerate((8, 10, 13, 20, 30, 45, 5))}
+    items = {k: [word() for _ in range(n)] for k, n in enumerate((8, 10, 13, 15, 20, 30, 45, 5, 7, 3, 1, 2))}
     docs_ = {}
     for d in range(150):
         body = [word() for _ in range(rng.randint(0, 50))]
@@ -513,7 +540,7 @@ def test_decontamination_equals_brute_force(spark):
     frame = spark.createDataFrame([(d, " ".join(w).title() + ".") for d, w in docs_.items()], "doc_id long, text string").withColumn("tokens", F.lit(1))
     bench = spark.createDataFrame([(k, ", ".join(w)) for k, w in items.items()] + [(90, None), (None, "x")], "item_id long, text string")
     rows = decontam.contaminated(frame, bench).collect()
-    want = {(d, k) for d, w in docs_.items() for k, i in items.items() if len(i) >= 8 and plain_overlap(w, i, 13, 0.8)}
+    want = {(d, k) for d, w in docs_.items() for k, i in items.items() if plain_overlap(w, i, 13, 0.8)}
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > 50
     for r in rows:
         assert r.n_equal >= 0.8 * r.n_tokens - 1e-9
@@ -556,5 +583,15 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_as_published(spark):
+    known = dict(licenses.KNOWN)
+    owner = "\n\nCopyright (c) 2021, Some Body\nAll rights reserved.\n\n"
+    cases = [(title + owner + known[i], i) for i, titles in licenses.TITLES.items() for title in titles]
+    cases += [(title.upper() + owner + "\n" + licenses.NUMBERED.sub("  * ", known[i]), i) for i, titles in licenses.TITLES.items() for title in titles]
+    cases += [(known[i], i) for i in licenses.TITLES] + [("MIT License", None), ("MIT License" + owner + known["ISC"], None)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(documents(spark, [c[0] for c in cases])).collect()}
+    assert got == {k: c[1] for k, c in enumerate(cases)}
+
+
 def test_licenses_odd_cases(odd):
     assert licenses.scan(odd).count() == odd.count()

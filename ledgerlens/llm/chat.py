@@ -57,13 +57,10 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
         levels.append(level)
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = level.where("up is null").join(parents, ["tree", "node"], "left_anti")
-    ranked = leaves.groupBy("tree").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("total") / F.col("steps")).alias("mean"), (-F.col("steps")).alias("steps"), F.col("node").alias("node")))), 1, paths).alias("best")
-    ) if paths > 1 else leaves.groupBy("tree").agg(
-        F.array(F.min(F.struct((-F.col("total") / F.col("steps")).alias("mean"), (-F.col("steps")).alias("steps"), F.col("node").alias("node")))).alias("best")
-    )
-    chosen = ranked.select("tree", F.posexplode("best").alias("rank", "b")).select(
-        "tree", (F.col("rank") + 1).alias("rank"), F.col("b.node").alias("leaf"), (-F.col("b.mean")).alias("score"), F.col("b.node").alias("node")
+    # Of any number of leaves a task holds only the best so far: the rank filter is applied before the shuffle and in the sort.
+    order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
+    chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths).select(
+        "tree", "rank", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("score"), "node"
     )
     for k in range(len(levels) - 1, -1, -1):
         jump = levels[k].where("up is not null").select("tree", "node", "up")
@@ -84,7 +81,7 @@ def formatted(turns: DataFrame, key: list[str]) -> DataFrame:
         F.concat(escape(F.col("text")), F.lit("</s>")).alias("body"), (F.col("role") == "assistant").alias("learned"),
     )
     begins = F.coalesce(F.sum(F.length("head") + F.length("body")).over(before), F.lit(0)) + F.length("head")
-    one = F.struct("depth", "head", "body", "learned", begins.cast("int").alias("start"))
+    one = F.struct("depth", "head", "body", "learned", begins.cast("long").alias("start"))
     held = cut.withColumn("one", one).groupBy(*key).agg(F.sort_array(F.collect_list("one")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body)), "")
     spans = F.transform(F.filter("turns", lambda t: t.learned), lambda t: F.struct(t.start.alias("start"), (F.length(t.body) - len("</s>")).alias("length")))
@@ -128,7 +125,9 @@ def read_back(out: DataFrame) -> DataFrame:
         unescape(F.substring_index(c, "]", 1)).alias("role"),
         unescape(F.regexp_replace(F.regexp_replace(c, r"(?s)\A[^\]]*\]", ""), r"</s>\z", "")).alias("text"),
     ))
-    learned = F.array_join(F.transform("loss", lambda s: F.substring(F.col("formatted"), s.start + 1, s.length)), "")
+    # Four bytes a character, bound once a row: a span is cut at its place without a walk from the start of the text.
+    wide = F.transform(F.array(F.encode("formatted", "UTF-32")), lambda w: F.transform("loss", lambda s: F.decode(w.substr((s.start * 4 + 1).cast("int"), s.length * 4), "UTF-32")))
+    learned = F.array_join(wide[0], "")
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.withColumn("turns", turns).withColumn("learned", unescape(learned)).select(
         F.col("tree").alias("conv_id"),

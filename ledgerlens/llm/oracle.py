@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm.licenses import KNOWN, SPELLINGS, canonical_lines, digest
+from ledgerlens.llm.licenses import SPELLINGS, known_digests
 
 
 def _text(value: str) -> str:
@@ -40,8 +40,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 _spell = "map_from_entries([" + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in SPELLINGS.items()) + "])"
 _known = ", ".join(
-    f"({_text(d)}, {_text(i)})"
-    for d, i in sorted({digest(" ".join(canonical_lines(t))): min(j for j, u in KNOWN if digest(" ".join(canonical_lines(u))) == digest(" ".join(canonical_lines(t)))) for _, t in KNOWN}.items())
+    f"({_text(d)}, {_text(i)})" for d, i in sorted({d: min(j for j, e in known_digests() if e == d) for _, d in known_digests()}.items())
 )
 _no, _end = r"[^\p{L}\p{N}]*", r"($|[^\p{L}\p{N}_])"
 _copyright = f"^{_no}(copyright{_no}(©|c{_end}|[0-9]{{4}}|by{_end}|year{_end})|\\(c\\){_no}[0-9]{{4}}|©|all rights reserved{_end})"

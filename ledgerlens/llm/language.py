@@ -5,7 +5,8 @@ from: tasks count, Spark sums, and discounted counts, continuation counts and co
 stored as sorted arrays of n-gram hashes, one pair of arrays for an order; hashes fall into ``2 ** SLOT_BITS`` slots,
 so a model has a proven size whatever the corpus. A text's score under a language is its cross-entropy per n-gram.
 The language of the lowest one is chosen. How far it lies below the next one, and above what is usual for the
-language, is calibrated on documents that the counts leave out; a text beyond the usual is marked as rejected.
+language, is calibrated on a bounded sample, by models that are counted without it; a text beyond the usual is marked
+as rejected.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LEARN_MOD, held_out, mixed, rows
+from ledgerlens.llm.common import held_out, mixed, rows
 from ledgerlens.session import stage
 
 ORDER = 4  # letters of an n-gram
 SLOT_BITS = 18  # an order of a language's model has at most 2 ** 18 entries
 CALIBRATED = 2000  # documents of a language that the calibration uses, about and at most
-CALIBRATION_FOLD = 3  # of the learning documents, those of this remainder calibrate and are not counted
+SAMPLED = 0.25  # the share of a language's documents that the calibration uses, at most
 AT_ONCE = 1 << 21  # letters that a task counts or scores at once
 DISCOUNT = 0.75
 SPREAD = 4.0  # bits that a text of one letter may lie above the usual; falls with the root of the length
@@ -81,33 +82,36 @@ def slots(gram, order: int):
 
 
 def count_grams(learn: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts of ``learn`` (text, lang)."""
+    """(lang, gram, n, rest) over all texts of ``learn`` (text, lang, sampled); ``rest``: outside the sampled ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
-        held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+        held: dict[tuple[str, bool], list[np.ndarray]] = {}
+        size: dict[tuple[str, bool], int] = {}
 
-        def out(lang: str) -> pa.RecordBatch:
-            gram, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            size.pop(lang)
+        def out(key: tuple[str, bool]) -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held.pop(key)), return_counts=True)
+            size.pop(key)
+            n = n.astype(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"]
+                [pa.array([key[0]] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(0 * n if key[1] else n)],
+                names=["lang", "gram", "n", "rest"],
             )
 
-        for texts, langs in rows(batches):
-            for text, lang in zip(texts, langs):
+        for texts, *keys in rows(batches):
+            for text, key in zip(texts, zip(*keys)):
                 codes = letters.of(text)
                 if len(codes):
                     own = grams(codes)
-                    held.setdefault(lang, []).append(own)
-                    size[lang] = size.get(lang, 0) + len(own)
-                    if size[lang] >= AT_ONCE:
-                        yield out(lang)
-        for lang in list(held):
-            yield out(lang)
+                    held.setdefault(key, []).append(own)
+                    size[key] = size.get(key, 0) + len(own)
+                    if size[key] >= AT_ONCE:
+                        yield out(key)
+        for key in list(held):
+            yield out(key)
 
-    return learn.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = learn.select("text", "lang", "sampled").mapInArrow(run, "lang string, gram long, n long, rest long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
 
 
 class Memo:
@@ -196,9 +200,8 @@ class Model:
         return [self.langs[b] if s else None for b, s in zip(best, some)], score, ~some | (low > limit + spread)
 
 
-def fit_counts(learn: DataFrame) -> Model:
-    """The models of all languages of ``learn`` (text, lang), from all of its texts."""
-    top = stage(count_grams(learn), "language-grams")
+def fit_counts(top: DataFrame) -> Model:
+    """The models of all languages of ``top`` (lang, gram, n)."""
     low = lambda order: F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
     grams_: dict = {}
     contexts: dict = {}
@@ -305,18 +308,24 @@ def identify(docs: DataFrame, calibrated: int = CALIBRATED) -> DataFrame:
     ``lang_pred`` is the language of the lowest cross-entropy, ``und`` with score 0 if the text is null or has no
     letter, or nothing could be learned. ``rejected`` marks texts whose cross-entropy is beyond what is usual for the
     language; the prediction stays. ``calibrated`` is about how many documents of a language, chosen by a hash, the
-    calibration uses at most. Repeated rows are scored alike, rows without doc_id are never learned from, other columns
-    are ignored, an empty table gives an empty result.
+    calibration uses at most (and at most a quarter of them); the models that predict count these too. Repeated rows are
+    scored alike, rows without doc_id are never learned from, other columns are ignored, an empty table gives an empty
+    result.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     learn = own.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    fold = F.crc32(F.col("doc_id").cast("string")) % LEARN_MOD == CALIBRATION_FOLD
-    model = fit_counts(learn.where(~fold))
-    sizes = learn.where(fold).groupBy("lang").count().where(F.col("lang").isin(model.langs)).collect()
+    sizes = learn.groupBy("lang").count().collect()
+    dealt, sampled = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20), F.lit(False)
+    if sizes:
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(calibrated / r["count"], SAMPLED))])
+        sampled = F.coalesce(dealt < F.element_at(share, F.col("lang")), sampled)
+    marked = learn.withColumn("sampled", sampled)
+    top = stage(count_grams(marked), "language-grams")
+    model = fit_counts(top.select("lang", "gram", "n"))
     if sizes:
-        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], calibrated / r["count"])])
-        dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-        calibrate(model, learn.where(fold & (dealt < F.element_at(share, F.col("lang")))))
+        part = fit_counts(top.where("rest > 0").select("lang", "gram", F.col("rest").alias("n")))
+        calibrate(part, marked.where("sampled"))
+        model.scale, model.usual = part.scale, part.usual
     return scored(own, model).select(
         "doc_id", held_out().alias("held_out"), F.coalesce("lang_best", F.lit("und")).alias("lang_pred"), "score", "rejected", "bits", "letters"
     )

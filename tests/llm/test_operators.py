@@ -153,7 +153,11 @@ def test_language_held_out(spark):
 def test_kneser_ney_equals_direct_computation(spark):
     """On a small alphabet, without hash clashes, the model gives the textbook probabilities, which sum to one."""
     sample = ["abba baab", "aab abb", "bab"]
-    model = language.fit_counts(spark.createDataFrame([(t, "x") for t in sample], "text string, lang string"))
+    marked = spark.createDataFrame([(t, "x", k == 1) for k, t in enumerate(sample)], "text string, lang string, sampled boolean")
+    counted = language.count_grams(marked)
+    without = Counter(int(g) for t in sample[::2] for g in language.grams(language.Letters().of(t)))
+    assert {r.gram % 2**64: r.rest for r in counted.collect() if r.rest} == without
+    model = language.fit_counts(counted.select("lang", "gram", "n"))
     letters = language.Letters()
     grams = Counter(int(g) for t in sample for g in language.grams(letters.of(t)))
     low = lambda g, n: g & (1 << 16 * n) - 1
@@ -175,6 +179,18 @@ def test_kneser_ney_equals_direct_computation(spark):
         assert 2 ** model.log2("x", np.array([g], np.uint64))[0] == pytest.approx(p(g, 4), rel=1e-4)
 
 
+@pytest.mark.parametrize("fold", (0, 1, 3))
+def test_language_of_one_document_is_learned(spark, fold):
+    """Whatever the hash of the one document's id, calibration does not keep it from being counted."""
+    one = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 4 == fold)
+    texts = [f"the cat number {k} sat on the mat and looked at the other cats" for k in range(40)]
+    frame = documents(spark, texts).unionByName(
+        spark.createDataFrame([(one, "die Katze schläft nicht über der großen Straße", "de"), (one + 1000, "über die große Straße", None)], "doc_id long, text string, lang string"), allowMissingColumns=True
+    )
+    got = {r.doc_id: r.lang_pred for r in language.identify(frame).collect()}
+    assert got[one + 1000] == "de" and got[0] == "en"
+
+
 def test_language_odd_cases(spark, odd, empty):
     rows = language.identify(odd).collect()
     assert len(rows) == odd.count()

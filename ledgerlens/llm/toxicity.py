@@ -32,7 +32,7 @@ from ledgerlens.session import stage
 TERM = re.compile(r"[^\W\d_]+").findall
 LONGEST = 64  # a longer letter run is a term by its start and its hash
 LIFT = 2.0  # how much a term's tie to a label raises its weight
-BLOCK = 32  # examples of a block
+BLOCK = 64  # examples of a block
 NEIGHBOURS = 15
 NO_TERM, ALL = -1, -2  # places in the statistics of the documents without any known term, and of all documents
 
@@ -125,7 +125,10 @@ class Index:
 
     def nearest(self, counts: dict[str, int], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
         """(cosine, example id, label) of the ``k`` nearest examples above cosine 0; ties: the smaller id."""
-        at, w = self.vector(counts)
+        return self.search(*self.vector(counts), k, without)
+
+    def search(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
+        """``nearest`` to a vector."""
         if not len(at) or not len(self.ids):
             return []
         per = self.first[at + 1] - self.first[at]
@@ -136,7 +139,7 @@ class Index:
         best = np.zeros(0, np.int64)
         cosine = np.zeros(len(self.ids))
         start, step = 0, 1
-        while start < len(order):  # one block, then twice as many each time, as long as one can hold a nearer example
+        while start < len(order):  # one block, then four times as many each time, as long as one can hold a nearer example
             least = cosine[best[-1]] - 1e-9 if len(best) == k else 0.0
             some = order[start : start + step]
             some = some[(bounds[some] > 0) & (bounds[some] >= least)]
@@ -149,13 +152,13 @@ class Index:
             sizes = self.cell_size[own]
             posts = ranges(self.cell_start[own], sizes)
             got = np.bincount(self.example[posts], np.repeat(weight[mine], sizes) * self.posted[posts], len(self.ids)).round(9)
-            new = np.flatnonzero(got > 0)
+            new = np.flatnonzero((got > 0) & (got >= least))
             if without is not None:
                 new = new[self.ids[new] != without]
             cosine[new] = got[new]
             best = np.concatenate((best, new))
             best = best[np.lexsort((self.ids[best], -cosine[best]))][:k]
-            start, step = start + step, 2 * step
+            start, step = start + step, 4 * step
         return [(float(cosine[e]), int(self.ids[e]), int(self.labels[e])) for e in best]
 
 
@@ -186,12 +189,14 @@ class Model:
     def __init__(self, index: Index, curve: tuple[float, float], plain: float):
         self.index, self.curve, self.plain = index, curve, plain
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[float, int, int]]]:
-        near = self.index.nearest(counts)
+    def score(self, counts: dict[str, int]) -> tuple[float, int, list[tuple[float, int, int]]]:
+        """The score, the number of known terms, and the neighbours."""
+        at, w = self.index.vector(counts)
+        near = self.index.search(at, w)
         if not near:
-            return self.plain, near
+            return self.plain, len(at), near
         a, b = self.curve
-        return 1 / (1 + math.exp(-(a + b * vote(near)))), near
+        return 1 / (1 + math.exp(-(a + b * vote(near)))), len(at), near
 
 
 def chosen_examples(docs: DataFrame, sample: DataFrame, examples: int, letters: int) -> DataFrame:
@@ -277,11 +282,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for ids, texts in rows(batches):
-            found = [{t: n for t, n in terms(x).items() if t in model.index.place} for x in texts]
-            scored = [model.score(c) for c in found]
-            evidence = [[{"doc_id": d, "cosine": c, "label": y} for c, d, y in near] for _, near in scored]
+            scored = [model.score(terms(x)) for x in texts]
+            evidence = [[{"doc_id": d, "cosine": c, "label": y} for c, d, y in near] for _, _, near in scored]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([s for s, _ in scored], pa.float64()), pa.array([len(c) for c in found], pa.int32()), pa.array(evidence, kind)],
+                [pa.array(ids, pa.int64()), pa.array([s for s, _, _ in scored], pa.float64()), pa.array([n for _, n, _ in scored], pa.int32()), pa.array(evidence, kind)],
                 names=["doc_id", "score", "n_terms", "evidence"],
             )
 

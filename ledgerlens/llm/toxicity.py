@@ -9,8 +9,7 @@ which bounds the cosine of all its examples. A query reads blocks in the order o
 block can hold a nearer example, so its neighbours are exact.
 
 The distance-weighted vote of the neighbours becomes a score by a logistic curve that is fitted on the votes of the
-examples themselves, each without its own vote, and on one sure case of each label; documents without any term of the examples get the toxic share of the
-labelled documents without one. Evidence lists the neighbours.
+XX Evidence lists the neighbours.
 """
 
 from __future__ import annotations
@@ -256,9 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, learned: int = 16_384, examples: int
     index = Index(dict(zip(vocabulary, (idf * (1 + LIFT * np.sqrt(np.maximum(0, chi - chance)))).tolist())), ids, ys, counts)
     total = sum(share.values())
     weight = {label: share[label] / n[label] for label in share}
-    none1, none0 = table[NO_TERM, 2] * weight.get(1, 1.0), (table[NO_TERM, 1] - table[NO_TERM, 2]) * weight.get(0, 1.0)
-    plain = (none1 + share.get(1, 0) / total) / (none1 + none0 + 1)
     having = Counter(ys)
+    tied = {t for t, x in zip(vocabulary, chi) if x > chance}
+    none = {label: (table[NO_TERM, 2] if label else table[NO_TERM, 1] - table[NO_TERM, 2]) * weight.get(label, 1.0) for label in (0, 1)}
+    for label, c in zip(ys, counts):  # an example without a term that goes with a label is like a text without any
+        if tied.isdisjoint(c):
+            none[label] += share[label] / having[label]
+    plain = (none[1] + share.get(1, 0) / total) / (none[0] + none[1] + 1)
     votes, truth, weights = [0.0, 1.0], [0, 1], [1.0, 1.0]  # a sure case of each label: copies count even where no examples are alike
     for doc_id, label, c in zip(ids, ys, counts):
         if near := index.nearest(c, without=doc_id):

@@ -176,3 +176,24 @@ def test_refreshing_changed_documents_equals_a_full_run(spark):
 
 def test_rules_have_unique_codes():
     assert len({r[0] for r in RULES}) == 8
+
+
+def test_rows_of_large_keys_are_numbered_over_ranges(spark):
+    rows = [(k, i * 7 % 50, i) for k, n in ((1, 300), (2, 5), (3, 41), (4, 40)) for i in range(n)]
+    got = numbered(spark.createDataFrame(rows, "k long, a int, b int").repartition(6), "k", ["a", "b"], most=40)
+    want = [(k, n + 1, a, b) for k in (1, 2, 3, 4) for n, (a, b) in enumerate(sorted((a, b) for x, a, b in rows if x == k))]
+    assert sorted((r.k, r.line_no, r.a, r.b) for r in got.collect()) == want
+
+
+def test_a_table_costs_only_what_it_is_derived_from(spark, tmp_path, monkeypatch):
+    """Neither field rows nor the extracts of other tables are written to read one table."""
+    from conftest import SF
+    from ledgerlens import session
+    from ledgerlens.plans import catalog
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    t = bridge.Tables(spark, SF)
+    assert t["truth"].count() == 1473 and t["extractions"].count() == 53568 and t["vendors"].count() == 10
+    assert {f.name.rsplit("-", 1)[0] for f in tmp_path.glob("ledgerlens/*/*")} == {"billed", "heads", "large-keys"}
+    catalog.QUERIES["S1_erp_vendors"](spark, SF).count()
+    assert [f.name for f in tmp_path.glob("ledgerlens/*/erp-csv-*/*")] == ["vendors.csv"]

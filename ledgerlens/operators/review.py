@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import bind
+from ledgerlens.functions import bind, rows_of
 from ledgerlens.functions.layout import inline_tables
 from ledgerlens.functions.text import WHITESPACE, strip
 from ledgerlens.model import MIN_CONFIDENCE
@@ -47,7 +47,7 @@ def least_certain(responses: DataFrame, n: int = 15) -> DataFrame:
 
     worst = F.slice(F.sort_array(F.flatten(F.transform("pages", of_page))), 1, n)
     # The context is cut out before the words become rows, so no row carries the pages.
-    return responses.select("doc_id", F.posexplode(F.transform(worst, shown)).alias("pos", "w")).select(
+    return responses.select("doc_id", F.posexplode_outer(F.transform(worst, shown)).alias("pos", "w")).where("pos is not null").select(
         "doc_id", (F.col("pos") + 1).alias("rank"), "w.page", "w.word", "w.confidence", "w.context")
 
 
@@ -108,7 +108,7 @@ def _without_overlaps(spans: Column) -> Column:
 def low_confidence_spans(responses: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
     """Uncertain words as spans of their page's text, in order of appearance."""
     return (
-        responses.select("doc_id", F.explode("pages").alias("p"))
+        rows_of(responses, "pages", "p", "doc_id")
         .select("doc_id", (F.col("p.index") + 1).alias("page"), F.posexplode(low_spans(F.col("p"), threshold)).alias("mark", "s"))
         .select("doc_id", "page", "mark", "s.start_index", "s.end_index", "s.word", "s.confidence")
     )
@@ -116,7 +116,7 @@ def low_confidence_spans(responses: DataFrame, threshold: float = MIN_CONFIDENCE
 
 def marked_markdown(responses: DataFrame, threshold: float = MIN_CONFIDENCE) -> DataFrame:
     """Page text with numbered marks around the uncertain words and with tables inlined, and the marks' confidences."""
-    pages = responses.select("doc_id", F.explode("pages").alias("p")).withColumn("spans", low_spans(F.col("p"), threshold))
+    pages = rows_of(responses, "pages", "p", "doc_id").withColumn("spans", low_spans(F.col("p"), threshold))
     md = F.col("p.markdown")
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end_index"]))
 

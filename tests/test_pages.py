@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from ledgerlens.plans.catalog import QUERIES
 from ledgerlens.session import shared_dir
-from ledgerlens.sources import page_fixture
+from ledgerlens.sources import lake, page_fixture
 
 
 def written(spark):
@@ -38,3 +38,11 @@ def test_words_begin_where_they_stand(spark):
     row = spark.createDataFrame([(text,)], "t string").select(page_fixture._words(F.col("t"), F.lit(0), 1).alias("w")).first()
     assert all(text[w.start_index:w.start_index + len(w.text)] == w.text for w in row.w)
     assert [w.text for w in row.w] == ["a", "bb", "ccc"] + ["word,"] * 100 + ["é\U0001f600x", "end"]
+
+
+def test_responses_are_written_compressed(spark, tmp_path):
+    responses = page_fixture.responses(spark, SF)
+    lake.write_responses(responses, str(tmp_path / "r"))
+    files = glob.glob(str(tmp_path / "r" / "part-*"))
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert lake.read_responses(spark, str(tmp_path / "r")).count() == responses.count()

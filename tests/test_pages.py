@@ -46,3 +46,14 @@ def test_responses_are_written_compressed(spark, tmp_path):
     files = glob.glob(str(tmp_path / "r" / "part-*"))
     assert files and all(f.endswith(".json.gz") for f in files)
     assert lake.read_responses(spark, str(tmp_path / "r")).count() == responses.count()
+
+
+def test_places_need_no_words(spark):
+    def scores_words(name):  # a word's confidence is made of 17 times its offset
+        return " * 17)" in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert scores_words("W2_span_confidence") and not scores_words("W1_locate")
+
+
+def test_small_files_are_dealt_in_several_tasks_for_each_core(spark):
+    assert QUERIES["W1_locate"](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

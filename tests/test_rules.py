@@ -119,3 +119,15 @@ def test_malformed_values_become_null_and_are_reported(build):
     (h,) = eav.invoice_header(t["extractions"]).collect()
     assert h.total is None and h.invoice_date is None
     assert sorted(r.field_name for r in eav.rejects(t["extractions"]).collect()) == ["invoice_date", "total"]
+
+
+def test_lines_meet_records_once_whatever_vendors_match(spark):
+    iv = spark.createDataFrame([("d", v, "n", "po-1") for v in ("V1", "V2", "V2")] + [("e", None, "m", None)],
+                               "doc_id string, vendor_id string, invoice_number string, po_number string")
+    lines = spark.createDataFrame([("d", 1, "a", "A", 3, 2), ("e", 1, "a", "A", 3, 2)],
+                                  "doc_id string, line_no int, sku string, description string, quantity int, unit_price int")
+    agreed = spark.createDataFrame([("PO-1", "a", 1)], "po_number string, sku string, unit_price int")
+    received = spark.createDataFrame([("PO-1", "a", 2, "GR")], "po_number string, sku string, qty_received int, receipt_id string")
+    over = rules.line_overages(iv, lines, agreed, received)
+    assert sorted((r.rule_code, r.vendor_id) for r in over.collect()) == [
+        (rule, v) for rule in ("PRICE_OVER_PO", "QTY_OVER_RECEIPT") for v in ("V1", "V2", "V2")]

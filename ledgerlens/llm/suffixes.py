@@ -1,15 +1,15 @@
 """Repeated passages by a sparse suffix array.
 
 Of all word suffixes only those at minimiser positions are kept: where the hash of the next ``PREFIX`` words is the
-least of ``window`` neighbours. Any passage of ``least = PREFIX + window - 1`` words contains such a position with the
-whole prefix inside, the same one wherever the passage stands. Spark sorts the suffixes by prefix, then document, in
-ranges, so equal prefixes lie side by side whatever their number, and a task compares neighbours in one pass. Each
-suffix is matched with its neighbour and with the first document that has its prefix. Matches that go on along the same
-diagonal are joined, and their two ends are extended word by word, left and right, in both documents. What reaches
-``least`` words is a repeated passage.
-
-Only positions and hashes are sorted and joined; texts are read again for the runs around shared prefixes and for the
-words at the ends of matches.
+least of ``window`` neighbours. Any run of ``least = PREFIX + window - 1`` words has one such position with the whole
+prefix inside, the same one wherever the run stands. So each kept suffix stands for the runs that have it, which lie one
+behind the other: its stretch. Spark sorts the suffixes by prefix, then stretch, then document, in ranges, so equal ones
+lie side by side whatever their number, and a task compares neighbours in one pass. A suffix whose prefix and stretch an
+earlier document has is a repeat, word by word. Where suffixes of several documents have a prefix in common but not the
+stretch, as at the ends of passages, the runs of the first document of each stretch are sorted out one by one. Repeats
+that go on along the same diagonal are joined.
+
+Only positions and hashes are sorted and joined; texts are read again for the runs of unlike stretches.
 """
 
 from __future__ import annotations
@@ -19,139 +19,140 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WordHashes, gram_hashes, lower_words, minimisers, rows
-from ledgerlens.session import stage
+from ledgerlens.llm.common import WordHashes, gram_hashes, lower_words, mixed, rows, window_minima
+from ledgerlens.session import scratch, stage
 
-PREFIX = 30  # words by which suffixes are sorted and compared
+PREFIX = 30  # words by which suffixes are sorted first
 
 
-def suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, pos): the kept suffixes and the hashes of their first PREFIX words."""
+def suffixes(docs: DataFrame, least: int) -> DataFrame:
+    """(h, s, doc_id, place): the kept suffixes, by the hashes of their first PREFIX words and of their stretch.
+
+    ``place`` holds the stretch's first word and the number n of its runs of ``least`` words: first * window + n - 1.
+    """
+    window = least - PREFIX + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for ids, texts in rows(batches):
-            kept, doc, at = [], [], []
+            prefixes, stretches, doc, place = [], [], [], []
             for doc_id, text in zip(ids, texts):
-                h = gram_hashes(words.of(lower_words(text)), PREFIX)
-                if len(h):
-                    p = minimisers(h, window)
-                    kept.append(h[p])
-                    at.append(p)
-                    doc.append(np.full(len(p), doc_id, np.int64))
-            if kept:
+                own = words.of(lower_words(text))
+                if len(own) < least:
+                    continue
+                h, w = gram_hashes(own, PREFIX), gram_hashes(own, least)
+                at = window_minima(h, window)  # of each run of ``least`` words; never falls
+                turns = np.flatnonzero(at[1:] != at[:-1])
+                first, last = np.concatenate(([0], turns + 1)), np.concatenate((turns, [len(at) - 1]))
+                prefixes.append(h[at[first]])
+                ends = w[last] ^ (w[last] << np.uint64(17))  # both end runs overlap, so they fix all words between
+                stretches.append(mixed(w[first] * np.uint64(0x100000001B3) + ends + (last - first).astype(np.uint64)))
+                place.append(first * window + last - first)
+                doc.append(np.full(len(first), doc_id, np.int64))
+            if doc:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(kept).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(at).astype(np.int32))],
-                    names=["h", "doc_id", "pos"],
+                    [pa.array(np.concatenate(c).view(np.int64)) for c in (prefixes, stretches, doc, place)], names=["h", "s", "doc_id", "place"]
                 )
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "h long, s long, doc_id long, place long")
 
 
-def matched(kept: DataFrame) -> DataFrame:
-    """(doc_id, pos, f_doc, f_pos): suffixes whose prefix an earlier document has, with its first and its last such place."""
-    ordered = stage(
-        kept.repartitionByRange("h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos").mapInArrow(first_of_run, RUNS),
+def ordered(kept: DataFrame) -> DataFrame:
+    """(h, doc_id, place, f_doc, f_place): suffixes whose prefix is not the only one, with the first of their stretch."""
+    marked = stage(
+        kept.repartitionByRange("h", "s", "doc_id", "place").sortWithinPartitions("h", "s", "doc_id", "place").mapInArrow(first_of_run, RUNS),
         "suffix-runs",
+        keep=True,
     )
-    # A run of equal prefixes may begin in an earlier range. A row per range tells which: its last run with that run's
-    # first place, and its last place.
-    ends = ordered.where("edge").groupBy("part").agg(
-        F.min("h").alias("low"), F.min(F.struct(F.bitwise_not("h").alias("high"), F.col("f_doc").alias("f_doc"), F.col("f_pos").alias("f_pos"))).alias("first"),
-        F.max(F.when(F.col("closing"), F.struct("p_doc", "p_pos"))).alias("last"),
-    ).orderBy("part").collect()
-    begun, held = [], None  # held: prefix and first place of the run that goes on, and the last place so far
-    for r in ends:
-        if held and held[0] == r.low:
-            begun.append((r.part, *held))
-        high = ~r.first.high
-        first = held[1:3] if held and held[0] == high else (r.first.f_doc, r.first.f_pos)
-        held = (high, *first, r.last.p_doc, r.last.p_pos)
-    earlier = kept.sparkSession.createDataFrame(begun, "part int, h long, e_doc long, e_pos int, l_doc long, l_pos int")
-    begins = (F.col("p_doc") == F.col("doc_id")) & (F.col("p_pos") == F.col("pos"))  # the first row of its range
+    # A run of equal stretches may begin in an earlier range. A row per range tells which: its first run, and its last with
+    # that run's first place.
+    begun, held = [], None  # held: the run that goes on, and its first place
+    for r in marked.where("closing").orderBy("part").collect():
+        if held and held[0] == (r.f_doc, r.f_place):
+            begun.append((r.part, *held[0], *held[1]))
+        if not held or held[0] != (r.h, r.s):
+            held = (r.h, r.s), (r.doc_id, r.place)
+    earlier = kept.sparkSession.createDataFrame(begun, "part int, h long, s long, e_doc long, e_place long")
     return (
-        ordered.where("not closing").join(F.broadcast(earlier), ["part", "h"], "left")  # at most a row for each range
-        .select("doc_id", "pos", F.inline(F.array(
-            F.struct(F.coalesce("e_doc", "f_doc").alias("f_doc"), F.coalesce("e_pos", "f_pos").alias("f_pos")),
-            F.struct(
-                F.when(begins, F.coalesce("l_doc", "p_doc")).otherwise(F.col("p_doc")).alias("f_doc"),
-                F.when(begins, F.coalesce("l_pos", "p_pos")).otherwise(F.col("p_pos")).alias("f_pos"),
-            ),
-        )))
-        .where("f_doc <> doc_id").distinct()
+        marked.where("not closing").join(F.broadcast(earlier), ["part", "h", "s"], "left")  # at most a row for each range
+        .select("h", "doc_id", "place", F.coalesce("e_doc", "f_doc").alias("f_doc"), F.coalesce("e_place", "f_place").alias("f_place"))
     )
 
 
-RUNS = "part int, h long, doc_id long, pos int, f_doc long, f_pos int, p_doc long, p_pos int, edge boolean, closing boolean"
+RUNS = "part int, h long, s long, doc_id long, place long, f_doc long, f_place long, closing boolean"
 
 
 def first_of_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks sorted suffixes with the first of their run of equal prefixes, and with the one before; drops the firsts.
+    """Marks sorted suffixes with the first of their run of equal stretches; drops those whose prefix no other one has.
 
-    The rows of a range's first run all stay (``edge``), as its first may lie in the range before; the first of the last
-    run is given once more at the end (``closing``), with the place of the range's last row.
+    The range's first and last prefix stay, as the ranges beside may have them. One row more (``closing``) has the last
+    run and its first place, and as ``f_doc`` and ``f_place`` h and s of the range's first run.
     """
     part = TaskContext.get().partitionId()
-    opening = None
-    last = None  # (h, doc, pos) of the first of the current run
-    before = (-1, -1)  # doc and pos of the row before
-
-    def out(h, doc, pos, f_doc, f_pos, p_doc, p_pos, edge, closing) -> pa.RecordBatch:
-        n = len(h)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(n, part), pa.int32()), pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()),
-                pa.array(f_doc, pa.int64()), pa.array(f_pos, pa.int32()), pa.array(p_doc, pa.int64()), pa.array(p_pos, pa.int32()), pa.array(edge), pa.array(np.full(n, closing)),
-            ],
-            names=[f.split()[0] for f in RUNS.split(", ")],
-        )
+    opening = first = None  # (h, s) of the first run; (h, s, doc, place) of the first of the current run
+    before = waiting = None  # h of the row before, and the last row: it waits for the one behind
+
+    def out(columns: list, closing: bool) -> pa.RecordBatch:
+        n = len(columns[0])
+        values = [pa.array(np.full(n, part), pa.int32()), *(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, closing))]
+        return pa.RecordBatch.from_arrays(values, names=[f.split()[0] for f in RUNS.split(", ")])
+
+    def marked(own: list[np.ndarray], behind: int | None) -> pa.RecordBatch:
+        """``behind``: h of the row behind; None at the end of the range."""
+        nonlocal first, before
+        h, s = own[:2]
+        new = np.concatenate(([first is None or (h[0], s[0]) != first[:2]], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
+        run, starts = np.cumsum(new) - 1, np.flatnonzero(new)  # -1: the run of the batch before
+        firsts = [np.where(run >= 0, c[starts[run]] if len(starts) else 0, 0 if first is None else first[k]) for k, c in ((2, own[2]), (3, own[3]))]
+        if len(starts):
+            first = tuple(c[starts[-1]] for c in own)
+        alike = h[1:] == h[:-1]
+        keep = np.concatenate(([before is None or h[0] == before], alike)) | np.concatenate((alike, [behind is None or h[-1] == behind]))
+        keep |= h == opening[0]
+        before = h[-1]
+        return out([c[keep] for c in (*own, *firsts)], False)
 
     for batch in batches:
-        h, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(h):
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(own[0]):
             continue
-        if opening is None:
-            opening = h[0]
-        new = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))
-        run = np.cumsum(new) - 1  # -1: the run of the batch before
-        starts = np.flatnonzero(new)
-        f_doc, f_pos = (np.where(run >= 0, v[starts[run]] if len(starts) else 0, 0 if last is None else last[k]) for k, v in ((1, doc), (2, pos)))
-        p_doc, p_pos = (np.where(new, f, np.concatenate(([b], v[:-1]))) for f, b, v in ((f_doc, before[0], doc), (f_pos, before[1], pos)))
-        before = (doc[-1], pos[-1])
-        if len(starts):
-            last = (h[starts[-1]], doc[starts[-1]], pos[starts[-1]])
-        edge = h == opening
-        keep = edge | ~new
-        yield out(h[keep], doc[keep], pos[keep], f_doc[keep], f_pos[keep], p_doc[keep], p_pos[keep], edge[keep], False)
-    if last is not None:
-        h, doc, pos = ([v] for v in last)
-        yield out(h, doc, pos, doc, pos, [before[0]], [before[1]], [True], True)
-
-
-def first_windows(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+        opening = opening or (own[0][0], own[1][0])
+        if waiting is not None:
+            own = [np.concatenate((w, c)) for w, c in zip(waiting, own)]
+        waiting = [c[-1:].copy() for c in own]
+        if len(own[0]) > 1:
+            yield marked([c[:-1] for c in own], own[0][-1])
+    if waiting is not None:
+        yield marked(waiting, None)
+        yield out([[v] for v in (*first, *opening)], True)
+
+
+def first_windows(docs: DataFrame, own: DataFrame, least: int) -> DataFrame:
     """(doc_id, pos, f_doc, f_pos): runs of ``least`` words that an earlier document has, with their first place.
 
-    Only runs around kept positions whose prefix several documents have are looked up; no other run can be repeated.
+    ``own``: (h, doc_id, place), the suffixes of each stretch's first document. Only prefixes that several of these have
+    are looked up; no other run can be repeated unless its stretch is.
     """
-    several = kept.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    asked = kept.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("ats"))  # at most the words of a document
+    window = least - PREFIX + 1
+    several = own.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    asked = own.join(several, "h").groupBy("doc_id").agg(F.collect_set("place").alias("places"))  # at most the words of a document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for ids, texts, ats in rows(batches):
-            for doc_id, text, at in zip(ids, texts, ats):
+        for ids, texts, places in rows(batches):
+            for doc_id, text, place in zip(ids, texts, places):
                 h = gram_hashes(words.of(lower_words(text)), least)
-                p = np.unique(np.array(at)[:, None] - np.arange(least - PREFIX + 1))
-                p = p[(p >= 0) & (p < len(h))]
+                first, more = np.divmod(np.array(place), window)
+                p = np.repeat(first, more + 1) + np.concatenate([np.arange(n + 1) for n in more])
+                p = p[p < len(h)]  # an id may stand for several texts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[p].view(np.int64)), pa.array(np.full(len(p), doc_id, np.int64)), pa.array(p.astype(np.int32))],
-                    names=["w", "doc_id", "pos"],
+                    [pa.array(h[p].view(np.int64)), pa.array(np.full(len(p), doc_id, np.int64)), pa.array(p)], names=["w", "doc_id", "pos"]
                 )
 
-    windows = stage(docs.join(asked, "doc_id").select("doc_id", "text", "ats").mapInArrow(run, "w long, doc_id long, pos int"), "suffix-windows")
+    windows = stage(docs.join(asked, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "w long, doc_id long, pos long"), "suffix-windows")
     first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("high")).where("first.doc_id < high")
     return (
         windows.join(first, "w").where("doc_id > first.doc_id")
@@ -159,31 +160,6 @@ def first_windows(docs: DataFrame, kept: DataFrame, least: int) -> DataFrame:
     )
 
 
-def contexts(docs: DataFrame, places: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, at, left, right): hashes of up to ``reach`` words before ``at``, nearest first, and from it on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for ids, texts, ats in rows(batches):
-            cols: list[list] = [[], [], [], []]
-            for doc_id, text, at in zip(ids, texts, ats):
-                h = words.of(lower_words(text)).view(np.int64)
-                for p in sorted(at):
-                    for c, v in zip(cols, (doc_id, p, h[max(0, p - reach) : p][::-1], h[p : p + reach])):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "at", "left", "right"])
-
-    asked = places.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))  # at most the words of a document
-    return docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(run, "doc_id long, at int, left array<long>, right array<long>")
-
-
-def common(a: str, b: str) -> Column:
-    """How many items two arrays have in common from the start."""
-    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
-
-
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id, first_start): passages that an earlier document has too.
 
@@ -192,7 +168,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     between white space, A-Z in lower case. The smallest id of a passage's documents has no row for it, so removing all
     passages leaves one copy of each. Repeats within a document are none. A row ends where the documents differ, or
     where another row of ``doc_id`` goes on. Every run of ``least`` words that an earlier document has is inside a row:
-    its hash is looked up among those of all runs around shared prefixes.
+    its stretch is an earlier document's, or it is looked up among the runs of all first stretches with its prefix.
 
     ``doc_id`` is taken as unique; rows that repeat an id with its text change nothing, and other texts under one id
     are matched each. Null texts and rows without doc_id have no passages. Other columns are ignored. An empty table
@@ -200,37 +176,24 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     window = least - PREFIX + 1
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kept = stage(suffixes(own, window), "suffix-kept")
-    found = matched(kept).unionByName(first_windows(own, kept, least)).distinct()
+    with scratch(docs.sparkSession):
+        found = ordered(stage(suffixes(own, least), "suffix-kept"))
+    whole = found.where("f_doc <> doc_id").select(
+        "doc_id", F.expr(f"place div {window}").alias("pos"), F.expr(f"place % {window}").alias("more"), "f_doc", F.expr(f"f_place div {window}").alias("f_pos")
+    )
+    single = first_windows(own, found.where("f_doc = doc_id").select("h", "doc_id", "place"), least)
     line = ["doc_id", "f_doc", "shift"]
     along = Window.partitionBy(*line).orderBy("pos")
-    broken = F.coalesce(F.col("pos") > F.lag("pos").over(along) + PREFIX, F.lit(True))
-    runs = stage(
-        found.withColumn("shift", F.col("pos") - F.col("f_pos"))
-        .withColumn("new", broken.cast("int")).withColumn("run", F.sum("new").over(along))
-        .groupBy(*line, "run").agg(F.min("pos").alias("start"), (F.max("pos") + PREFIX).alias("end"))
-        .select(*line, "start", "end"),
-        "suffix-matches",
-    )
-    places = runs.select(
-        F.inline(F.array(*[
-            F.struct(F.col(d).alias("doc_id"), p.alias("at"))
-            for d, p in (("doc_id", F.col("start")), ("doc_id", F.col("end")), ("f_doc", F.col("start") - F.col("shift")), ("f_doc", F.col("end") - F.col("shift")))
-        ]))
-    ).distinct()
-    words = stage(contexts(own, places, window).dropDuplicates(["doc_id", "at"]), "suffix-ends")
-    out = runs.withColumns({"f_start": F.col("start") - F.col("shift"), "f_end": F.col("end") - F.col("shift")})
-    for doc, at, side, name in (("doc_id", "start", "left", "al"), ("f_doc", "f_start", "left", "fl"), ("doc_id", "end", "right", "ar"), ("f_doc", "f_end", "right", "fr")):
-        out = out.join(words.select(F.col("doc_id").alias(doc), F.col("at").alias(at), F.col(side).alias(name)), [doc, at])
-        if name in ("fl", "fr"):
-            more = common("a" + name[1], name)
-            out = out.withColumn(name[1] + "_more", more).drop("a" + name[1], name)
-    out = stage(out, "suffix-extended")
+    so_far = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        out.select(
-            "doc_id", (F.col("start") - F.col("l_more")).alias("start"), (F.col("end") - F.col("start") + F.col("l_more") + F.col("r_more")).alias("n_words"),
-            F.col("f_doc").alias("first_doc_id"), (F.col("f_start") - F.col("l_more")).alias("first_start"),
-        ).where(F.col("n_words") >= least).distinct()
+        whole.unionByName(single.withColumn("more", F.lit(0).cast("long")))
+        .withColumn("shift", F.col("pos") - F.col("f_pos")).withColumn("end", F.col("pos") + F.col("more") + least)
+        .withColumn("new", F.coalesce(F.col("pos") > so_far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(along))
+        .groupBy(*line, "run").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
+        .select(
+            "doc_id", F.col("start").cast("int").alias("start"), (F.col("end") - F.col("start")).cast("int").alias("n_words"),
+            F.col("f_doc").alias("first_doc_id"), (F.col("start") - F.col("shift")).cast("int").alias("first_start"),
+        )
     )
 
 

@@ -502,6 +502,54 @@ def test_passages_over_many_ranges(spark):
     assert {r.first_doc_id for r in rows if r.doc_id > 1} >= {0}
 
 
+def test_passages_of_whole_copies_need_no_lookup(spark, monkeypatch):
+    """Runs inside stretches that are alike are not written one by one; those at the ends of a shared passage are."""
+    rng, sizes, kept = random.Random(13), {}, suffixes.stage
+
+    def counted(df, name, **more):
+        out = kept(df, name, **more)
+        sizes[name] = out.count()
+        return out
+
+    def some(n):
+        return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+    monkeypatch.setattr(suffixes, "stage", counted)
+    base, passage = some(2000), some(400)
+    texts = {d: base for d in range(20)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert marked(suffixes.repeated_passages(frame).collect(), texts) == {d: set(range(2000)) for d in range(1, 20)}
+    assert sizes["suffix-windows"] == 0
+    texts = {d: f"{some(30)} {passage} {some(30)}" for d in range(20)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert marked(suffixes.repeated_passages(frame).collect(), texts) == {d: set(range(30, 430)) for d in range(1, 20)}
+    assert 0 < sizes["suffix-windows"] <= 20 * 4 * 21
+
+
+def test_passages_are_all_marked(spark, monkeypatch):
+    """Repeats within a document, parts of passages in other ones, ranges that cut runs: no word less than brute force."""
+    rng = random.Random(17)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("abcdefgh")
+    shared, texts = [[word() for _ in range(n)] for n in (50, 52, 60, 75, 90, 140, 300)], {}
+    for d in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            part = rng.choice(shared)
+            cut = rng.randint(0, len(part) - 40)
+            parts += [[word() for _ in range(rng.randint(0, 25))], part[cut:] if rng.random() < 0.5 else part]
+        texts[d] = " ".join(w for p in parts for w in p)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = plain_passages(texts)
+    assert marked(suffixes.repeated_passages(frame).collect(), texts) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert marked(suffixes.repeated_passages(frame).collect(), texts) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_passages_odd_cases_and_cutting(spark, odd, empty):
     assert suffixes.repeated_passages(empty).count() == 0
     assert suffixes.repeated_passages(odd).count() == 0

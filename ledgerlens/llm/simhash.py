@@ -8,6 +8,11 @@ the fingerprint turned so that the stretch comes first: the narrow limit holds t
 Spark walks the upper levels: nodes and their pairs are rows, and each pair becomes a task's unit of work. A node with
 many fingerprints is cut into blocks, so a unit holds two blocks of bounded size whatever the data. A unit returns a
 spanning forest of the links it finds, not the links. Equal fingerprints are one node from the start.
+
+Budgets that are a large share of the bits (near copies) leave no stretch to prune by. There the trie is walked once for
+each of many turns of the fingerprint, a turn being its bits in an order of its own: the first bits must agree, a few
+errors are let in for the next, and what is left is compared on all bits. The number of turns follows from the share of
+links that all of them may miss.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ AT_ONCE = 1 << 20  # pairs of fingerprints that a task compares at once
 DENSE = 0.1  # when the stretches would leave more than this share of all pairs, blocks are compared without walking
 SET_DOCS, SET_SHINGLES = 128, 1 << 18  # documents and shingles of a block whose shingle sets are compared
 COLUMNS = 4096  # shingles of a block that are compared at once
+LONG, SLACK, ERRORS = 192, 12, 2  # bits of a set's fingerprint; in a turn's SLACK bits behind the agreeing ones ERRORS may differ
 
 
 def fingerprint(text: str | None, shingle: int = 4, wide: bool = False) -> bytes:
@@ -78,20 +84,20 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs)))
 
 
-def set_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """Two signed words of 64 bits; a bit is set if it is set in over half of the distinct shingles' hashes."""
+def set_fingerprint(hashes: np.ndarray) -> list[int]:
+    """LONG bits in signed words of 64; a bit is set if it is set in over half of the distinct shingles' hashes."""
     out = []
-    for salt in (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD1342543DE82EF95)):
+    for salt in (np.uint64(0x632BE59BD9B4E019), np.uint64(0xD1342543DE82EF95), np.uint64(0x8CB92BA72F3D8DD7)):
         set_in = np.zeros(64, np.int64)
         for k in range(0, len(hashes), 1 << 16):
             bits = np.unpackbits(mixed(hashes[k : k + (1 << 16)] ^ salt).view(np.uint8).reshape(-1, 8), axis=1)
             set_in += np.add.reduce(bits, axis=0, dtype=np.uint32)
         out.append(int.from_bytes(np.packbits(2 * set_in > len(hashes)).tobytes(), "big", signed=True))
-    return out[0], out[1]
+    return out
 
 
 def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, w0, w1, same, n): fingerprint, digest and size of each row's set of shingles."""
+    """(doc_id, w0, w1, w2, same, n): fingerprint, digest and size of each row's set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches):
@@ -99,14 +105,14 @@ def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
             prints = [set_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)),
+                    pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1, 2)),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "w0", "w1", "same", "n"],
+                names=["doc_id", "w0", "w1", "w2", "same", "n"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, w0 long, w1 long, same string, n long"
+        run, "doc_id long, w0 long, w1 long, w2 long, same string, n long"
     )
 
 
@@ -143,17 +149,17 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             label[:] = up
 
 
-def walk(ka: np.ndarray, kb: np.ndarray, same: bool, bit: int, dist: int, narrow: int, length: int, budget: int) -> Iterator[tuple]:
+def walk(ka: np.ndarray, kb: np.ndarray, same: bool, bit: int, dist: int, narrow: int, length: int, budget: int, leaf: int = LEAF) -> Iterator[tuple]:
     """Index pairs (i, j), in bulk, of sorted 64-bit keys that may be within the budget.
 
     Walks both tries from depth ``bit``, where the prefixes differ in ``dist`` bits. ``same``: both are one trie, and a
-    pair of nodes is walked once.
+    pair of nodes is walked once. Nodes with at most ``leaf`` pairs are not walked further.
     """
     one = np.uint64(1)
     front = [np.array([v], np.int64) for v in (0, len(ka), 0, len(kb), dist)]
     while len(front[0]):
         alo, ahi, blo, bhi, d = front
-        small = (ahi - alo) * (bhi - blo) <= LEAF if bit < 64 else np.ones(len(alo), bool)
+        small = (ahi - alo) * (bhi - blo) <= leaf if bit < 64 else np.ones(len(alo), bool)
         if small.any():
             yield from compared(*(v[small] for v in (alo, ahi, blo, bhi)))
         alo, ahi, blo, bhi, d = (v[~small] for v in front)
@@ -303,6 +309,119 @@ def links(prints: DataFrame, budget: int = 4, bits: int = 64, name: str = "simha
     return units.mapInArrow(run, "a long, b long")
 
 
+def chances(errors: int, bits: int, share: float) -> float:
+    """The chance of at most ``errors`` differing bits of ``bits``, each differing with chance ``share``."""
+    return sum(math.comb(bits, k) * share**k * (1 - share) ** (bits - k) for k in range(errors + 1))
+
+
+def plan(nodes: int, similarity: float, missed: float) -> tuple[int, int, int]:
+    """(budget, depth, turns) for fingerprints of LONG bits of sets.
+
+    Sets of Jaccard similarity j differ in a bit with chance acos(2j / (1 + j)) / pi. ``budget`` is exceeded by a tenth
+    of ``missed`` of such pairs at most. ``depth`` agreeing bits leave blocks of BLOCK fingerprints; enough turns are
+    taken for all of them to miss no more than ``missed`` of the pairs.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    budget = next(b for b in range(LONG + 1) if 1 - chances(b, LONG, share) <= missed / 10)
+    depth = min(64 - SLACK, max(0, math.ceil(math.log2(max(1, nodes) / BLOCK))))
+    found = [(1 - x / LONG) ** depth * chances(ERRORS, SLACK, x / LONG) for x in range(budget + 1)]  # by a turn, at x differing bits
+    weight = [math.comb(LONG, x) * share**x * (1 - share) ** (LONG - x) for x in range(budget + 1)]
+    turns = 1
+    while sum(w * (1 - f) ** turns for w, f in zip(weight, found)) > missed:
+        turns += 1
+    return budget, depth, turns
+
+
+def bit_rows(words: list[np.ndarray]) -> np.ndarray:
+    """A row for each bit of the fingerprints."""
+    return np.ascontiguousarray(np.unpackbits(np.stack(words, axis=1).astype(">u8").view(np.uint8), axis=1).T)
+
+
+def turned(bits: np.ndarray, turn: int) -> np.ndarray:
+    """64 of the fingerprints' bits in the order of the turn, as keys."""
+    order = np.random.default_rng(turn).permutation(len(bits))[:64]
+    return np.ascontiguousarray(np.packbits(bits[order], axis=0).T).view(">u8").ravel().astype(np.uint64)
+
+
+def turn_links(ids_a, wa, ids_b, wb, same: bool, turn: int, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (a, b) ids, of the links within the budget that a turn finds between two blocks, or in one."""
+
+    def ordered(ids, words):
+        key = turned(bit_rows(words), turn)
+        order = np.argsort(key, kind="stable")
+        return ids[order], [w[order] for w in words], key[order]
+
+    ids_a, wa, ka = ordered(ids_a, wa)
+    ids_b, wb, kb = (ids_a, wa, ka) if same else ordered(ids_b, wb)
+    offset = 0 if same else len(ids_a)
+    label = np.arange(offset + len(ids_b))
+    for i, j in walk(ka, kb, same, depth, 0, ERRORS, depth + SLACK, 64, leaf=4):
+        if same:
+            i, j = i[i < j], j[i < j]
+        d = np.zeros(len(i), np.uint8)
+        for x, y in zip(wa, wb):
+            d += np.bitwise_count(x[i] ^ y[j])
+        ok = d <= budget
+        if ok.any():
+            merge(label, i[ok], j[ok] + offset)
+    ids = ids_a if same else np.concatenate((ids_a, ids_b))
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return ids[moved], ids[label[moved]]
+
+
+def set_print_links(prints: DataFrame, similarity: float, missed: float) -> DataFrame:
+    """Links (a, b) between fingerprints within the budget of ``plan``; they span the components of those that turns find.
+
+    ``prints``: (node, w0, w1, w2), a row for each distinct fingerprint. In a turn, fingerprints with the same first
+    ``depth`` bits are a trie's node and compared in blocks of about BLOCK; a larger node has several, and each pair of
+    its blocks is a unit of work.
+    """
+    names = ["w0", "w1", "w2"]
+    budget, depth, turns = plan(prints.count(), similarity, missed)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = bit_rows([c.to_numpy().view(np.uint64) for c in batch.columns[1:]])
+            for turn in range(turns):
+                at = (turned(bits, turn) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(batch.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), turn), pa.int32()), pa.array(at), *batch.columns], names=["turn", "at", "node", *names]
+                )
+
+    def placed() -> DataFrame:
+        return prints.select("node", *names).mapInArrow(place, "turn int, at long, node long, w0 long, w1 long, w2 long")
+
+    crowded = stage(
+        placed().groupBy("turn", "at").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("blocks")).where("blocks > 1"), "simhash-crowded"
+    )
+    block = F.pmod(F.xxhash64(*names, F.lit(7)), F.coalesce("blocks", F.lit(1)))
+    blocks = stage(
+        placed().join(crowded, ["turn", "at"], "left").groupBy("turn", "at", block.alias("block"))
+        .agg(F.collect_list(F.struct("node", *names)).alias("held"), F.first("blocks").alias("blocks")),  # about 2 * BLOCK at most
+        "simhash-blocks",
+    )
+    several = blocks.where("blocks > 1").select("turn", "at", "block", "held")
+    other = several.select("turn", "at", F.col("block").alias("to_block"), F.col("held").alias("held_to"))
+    units = blocks.where(F.size("held") > 1).select("turn", "held", F.lit(None).cast(blocks.schema["held"].dataType).alias("held_to")).unionByName(
+        several.join(other, ["turn", "at"]).where("block < to_block").select("turn", "held", "held_to")
+    )
+
+    def read(cell) -> tuple[np.ndarray, list[np.ndarray]]:
+        node, *words = (cell.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        return node, [w.view(np.uint64) for w in words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turn, held, held_to = batch.columns
+            for k in range(batch.num_rows):
+                alone = not held_to[k].is_valid
+                one = read(held[k])
+                a, b = turn_links(*one, *(one if alone else read(held_to[k])), alone, turn[k].as_py(), depth, budget)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, wide: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; the component is the least doc_id reachable.
 
@@ -403,23 +522,24 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, least: float) ->
     return units.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 32) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 0.001) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``; the component is the least doc_id reachable.
 
     Documents are linked when the Jaccard similarity of their sets of ``shingle``-word runs is at least ``similarity``.
-    Fingerprints of 128 bits over these sets, at most ``budget`` of them different, group what may be linked; within a
-    group the sets themselves are compared. Of isolated pairs at a similarity of 0.8, 1 in 800 has fingerprints further
-    apart than 32 bits and is missed (by the binomial distribution), of those at 0.85 1 in 15,000.
+    Fingerprints of LONG bits over these sets group what may be linked; within a group the sets themselves are compared.
+    Of isolated pairs at exactly ``similarity``, no more than ``missed`` are found by no turn and a tenth as many have
+    fingerprints too far apart (see ``plan``); of pairs more alike, fewer.
 
     Texts without words are linked to each other. Null texts, repeated rows, rows without doc_id and empty tables are
     as in ``near_duplicates``.
     """
+    words = ["w0", "w1", "w2"]
     prints = stage(set_prints(docs, shingle), "simhash-prints")
-    sets = stage(prints.groupBy("w0", "w1", "same", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
-    distinct = stage(sets.groupBy("w0", "w1").agg(F.min("node").alias("node")), "simhash-fingerprints")
-    near = components(links(distinct, budget, 128), "simhash-near")
-    named = distinct.join(near, "node", "left").select("w0", "w1", F.coalesce("component", "node").alias("group"))
-    members = stage(sets.join(named, ["w0", "w1"]).select("node", "same", "n", "group"), "simhash-members")
+    sets = stage(prints.groupBy(*words, "same", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
+    distinct = stage(sets.groupBy(*words).agg(F.min("node").alias("node")), "simhash-fingerprints")
+    near = components(set_print_links(distinct, similarity, missed), "simhash-near")
+    named = distinct.join(near, "node", "left").select(*words, F.coalesce("component", "node").alias("group"))
+    members = stage(sets.join(named, words).select("node", "same", "n", "group"), "simhash-members")
     found = components(verified(docs, members, shingle, similarity), "simhash")
     component = sets.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     component = stage(component.groupBy("same").agg(F.min("component_id").alias("component_id")), "simhash-named")

@@ -119,6 +119,46 @@ def test_trie_join_finds_all_links(spark, monkeypatch, bits, budget):
     assert got == plain_components(range(len(values)), values, budget)
 
 
+def test_turns_link_as_brute_force(spark, monkeypatch):
+    """Groups of prints that differ in up to 30 of 192 bits, and a crowd over several blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(4)
+    base = [rng.getrandbits(192) for _ in range(60)]
+    values = sorted({b ^ sum(1 << k for k in rng.sample(range(192), rng.randint(0, 15))) for n, b in enumerate(base) for _ in range(8 if n else 400)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, *(signed(v >> s & (1 << 64) - 1) for s in (128, 64, 0))) for k, v in enumerate(values)]
+    prints = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long")
+    found = common.components(simhash.set_print_links(prints, 0.8, 0.001)).collect()
+    got = {k: k for k in range(len(values))} | {r.node: r.component for r in found}
+    assert got == plain_components(range(len(values)), values, simhash.plan(len(values), 0.8, 0.001)[0])
+
+
+def test_near_copies_do_not_compare_all_pairs(monkeypatch):
+    """Four times the unrelated prints: well under 16 times the pairs, and under a tenth of all."""
+    monkeypatch.setattr(simhash, "BLOCK", 256)
+    pairs, seen = [], simhash.compared
+
+    def counted(*ranges):
+        for i, j in seen(*ranges):
+            pairs[-1] += len(i)
+            yield i, j
+
+    monkeypatch.setattr(simhash, "compared", counted)
+    rng = np.random.default_rng(2)
+    for nodes in (8000, 32000):
+        pairs.append(0)
+        budget, depth, turns = simhash.plan(nodes, 0.8, 0.001)
+        words = list(rng.integers(0, 2**64, (3, nodes), dtype=np.uint64))
+        bits = simhash.bit_rows(words)
+        for turn in range(turns):
+            at = simhash.turned(bits, turn) >> np.uint64(64 - depth)
+            for node in np.unique(at):
+                own = np.flatnonzero(at == node)
+                a, _ = simhash.turn_links(own, [w[own] for w in words], own, [w[own] for w in words], True, turn, depth, budget)
+                assert not len(a)
+    assert pairs[1] < 8 * pairs[0] and pairs[1] < 0.1 * 32000**2 / 2
+
+
 def test_simhash_odd_cases(spark, odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

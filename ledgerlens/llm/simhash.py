@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, lower_words, mixed, rows
-from ledgerlens.session import stage
+from ledgerlens.session import scratch, stage
 
 BLOCK = 4096  # fingerprints of a block; a unit of work reads two blocks
 TOP_LEVELS = 12  # at most so many levels are walked by Spark
@@ -537,10 +537,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
     prints = stage(set_prints(docs, shingle), "simhash-prints")
     sets = stage(prints.groupBy(*words, "same", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
     distinct = stage(sets.groupBy(*words).agg(F.min("node").alias("node")), "simhash-fingerprints")
-    near = components(set_print_links(distinct, similarity, missed), "simhash-near")
-    named = distinct.join(near, "node", "left").select(*words, F.coalesce("component", "node").alias("group"))
-    members = stage(sets.join(named, words).select("node", "same", "n", "group"), "simhash-members")
-    found = components(verified(docs, members, shingle, similarity), "simhash")
-    component = sets.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    component = stage(component.groupBy("same").agg(F.min("component_id").alias("component_id")), "simhash-named")
+    with scratch(docs.sparkSession):  # blocks and steps go before the texts move
+        near = components(set_print_links(distinct, similarity, missed), "simhash-near")
+        named = distinct.join(near, "node", "left").select(*words, F.coalesce("component", "node").alias("group"))
+        members = stage(sets.join(named, words).select("node", "same", "n", "group"), "simhash-members", keep=True)
+    with scratch(docs.sparkSession):
+        found = components(verified(docs, members, shingle, similarity), "simhash")
+        component = sets.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+        component = stage(component.groupBy("same").agg(F.min("component_id").alias("component_id")), "simhash-named", keep=True)
     return prints.join(component, "same", "left").select("doc_id", "component_id")

@@ -2,10 +2,12 @@
 
 import glob
 
+import duckdb
 from pyspark.sql import functions as F
 
 from conftest import SF
 from ledgerlens.plans.catalog import QUERIES
+from ledgerlens.plans.oracle import SQL
 from ledgerlens.session import shared_dir
 from ledgerlens.sources import lake, page_fixture
 
@@ -57,3 +59,13 @@ def test_places_need_no_words(spark):
 
 def test_small_files_are_dealt_in_several_tasks_for_each_core(spark):
     assert QUERIES["W1_locate"](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_without_content_have_no_file_name(spark, tmp_path):
+    texts = ["first/line one\nx", " \n \n", "", None, "\n\n  b.PDF \n", "a" * 300, "/", "\t\n"]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["F15_safe_file_name"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(SQL["F15_safe_file_name"]).fetchall()) and [d for d, _ in got] == ["D0", "D4", "D5", "D6", "D7"]

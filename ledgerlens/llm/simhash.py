@@ -12,7 +12,8 @@ spanning forest of the links it finds, not the links. Equal fingerprints are one
 Budgets that are a large share of the bits (near copies) leave no stretch to prune by. There the trie is walked once for
 each of many turns of the fingerprint, a turn being its bits in an order of its own: the first bits must agree, a few
 errors are let in for the next, and what is left is compared on all bits. The number of turns follows from the share of
-links that all of them may miss.
+links that all of them may miss. Near copies lose none of these either: sets as similar as asked share one of their first
+shingles in any order that all sets keep to, so what the turns overlooked is looked up by these (``overlooked``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, lower_words, mixed, rows
@@ -36,6 +37,7 @@ AT_ONCE = 1 << 20  # pairs of fingerprints that a task compares at once
 DENSE = 0.1  # when the stretches would leave more than this share of all pairs, blocks are compared without walking
 SET_DOCS, SET_SHINGLES = 128, 1 << 18  # documents and shingles of a block whose shingle sets are compared
 COLUMNS = 4096  # shingles of a block that are compared at once
+COMMON, ONE_IN = 1 << 17, 16  # shingles known as common, found among one in so many of the texts
 LONG, SLACK, ERRORS = 192, 12, 2  # bits of a set's fingerprint; in a turn's SLACK bits behind the agreeing ones ERRORS may differ
 
 
@@ -96,8 +98,48 @@ def set_fingerprint(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, w0, w1, w2, same, n): fingerprint, digest and size of each row's set of shingles."""
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts have, and how many of a sample of the texts do.
+
+    At most COMMON that three texts of the sample or more hold. Which these are decides what work is saved, not what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in rows(batches):
+            for t in texts:
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], names=["h"])
+
+    text = F.col("text").cast("string")
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(ONE_IN)) == 0).distinct()
+    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON)
+    found = counted.toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def needed(n: int, similarity: float) -> int:
+    """How many of its ``n`` shingles a set shares at least with any set of this similarity."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def first_shingles(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's shingles, common ones last (the most common at the very end), others by hash.
+
+    There are so many that two sets of this similarity share one of them: all but ``needed`` - 1.
+    """
+    n = len(hashes)
+    wanted = n - needed(n, similarity) + 1 if n else 0
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[:wanted]
+
+
+def set_prints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, w0, w1, w2, same, n, first): fingerprint, digest, size and first shingles of each row's set of shingles."""
+    common = common_shingles(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches):
@@ -107,12 +149,13 @@ def set_prints(docs: DataFrame, shingle: int) -> DataFrame:
                 [
                     pa.array(ids, pa.int64()), *(pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1, 2)),
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([first_shingles(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "w0", "w1", "w2", "same", "n"],
+                names=["doc_id", "w0", "w1", "w2", "same", "n", "first"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, w0 long, w1 long, w2 long, same string, n long"
+        run, "doc_id long, w0 long, w1 long, w2 long, same string, n long, first array<long>"
     )
 
 
@@ -522,6 +565,52 @@ def verified(docs: DataFrame, members: DataFrame, shingle: int, least: float) ->
     return units.mapInArrow(run, "a long, b long")
 
 
+def overlooked(docs: DataFrame, prints: DataFrame, named: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) between components that hold sets with a Jaccard similarity of ``least`` or more.
+
+    ``prints`` are those of ``set_prints``; ``named``: (same, node, component_id) of each different set. Pairs of sets of different
+    components that share one of their first shingles are counted by how many of these they share. The others are at most
+    ``needed`` - 1 of a set, so most pairs cannot reach ``least``; the sets of the rest are compared.
+    """
+    held = prints.select("same", F.col("doc_id").alias("node"), "n", "first").join(named, ["same", "node"])
+    of_shingle = Window.partitionBy("h")
+    placed = held.select("node", "n", F.col("component_id").alias("part"), F.explode("first").alias("h"))
+    met = placed.withColumns({"lo": F.min("part").over(of_shingle), "hi": F.max("part").over(of_shingle)}).where("lo < hi")
+    met = stage(met.select("h", "node", "n", "part"), "simhash-met")
+    other = met.select("h", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("part").alias("to_part"))
+    low, high = F.least("n", "to_n"), F.greatest("n", "to_n")
+    pairs = stage(
+        met.join(other, "h").where((F.col("part") < F.col("to_part")) & (low >= least * high - 1e-9))
+        .groupBy("node", "n", "part", "to", "to_n", "to_part").agg(F.count("*").alias("n_first"))
+        .where(F.col("n_first") + F.ceil(least * high - 1e-9) - 1 >= least / (1 + least) * (F.col("n") + F.col("to_n")) - 1e-6)
+        .select("node", "part", "to", "to_part"),
+        "simhash-pairs",
+    )
+    if pairs.isEmpty():
+        return pairs.select(F.col("part").alias("a"), F.col("to_part").alias("b"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["node", "held"])
+
+    wanted = pairs.select(F.explode(F.array("node", "to")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(wanted, "node", "left_semi")
+    sets = stage(texts.mapInArrow(read, "node long, held binary").distinct(), "simhash-compared")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("to"), F.col("held").alias("held_to")), "to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, to_part, held, held_to in rows(batches):
+            ok = []
+            for k, (x, y) in enumerate(zip(held, held_to, strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= least * (len(x) + len(y) - common) - 1e-9:
+                    ok.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in ok], pa.int64()) for c in (part, to_part)], names=["a", "b"])
+
+    return both.select("part", "to_part", "held", "held_to").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 0.001) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``; the component is the least doc_id reachable.
 
@@ -529,13 +618,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
     Fingerprints of LONG bits over these sets group what may be linked; within a group the sets themselves are compared.
     Of isolated pairs at exactly ``similarity``, about ``missed`` are found by no turn and a tenth as many have fingerprints
     too far apart (see ``plan``, by the binomial distribution; 1 in 1,000 in a simulation for 256,000 fingerprints, 1 in 570
-    for 16 million); of pairs more alike, fewer.
+    for 16 million); of pairs more alike, fewer. These are found by the shingles the sets share (``overlooked``), so no link is lost.
 
     Texts without words are linked to each other. Null texts, repeated rows, rows without doc_id and empty tables are
     as in ``near_duplicates``.
     """
     words = ["w0", "w1", "w2"]
-    prints = stage(set_prints(docs, shingle), "simhash-prints")
+    prints = stage(set_prints(docs, shingle, similarity), "simhash-prints")
     sets = stage(prints.groupBy(*words, "same", "n").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-distinct")
     distinct = stage(sets.groupBy(*words).agg(F.min("node").alias("node")), "simhash-fingerprints")
     with scratch(docs.sparkSession):  # blocks and steps go before the texts move
@@ -544,6 +633,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, miss
         members = stage(sets.join(named, words).select("node", "same", "n", "group"), "simhash-members", keep=True)
     with scratch(docs.sparkSession):
         found = components(verified(docs, members, shingle, similarity), "simhash")
-        component = sets.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+        part = stage(sets.join(found, "node", "left").select("same", "node", F.coalesce("component", "node").alias("component_id")), "simhash-parts", keep=True)
+    with scratch(docs.sparkSession):
+        whole = components(overlooked(docs, prints, part, shingle, similarity), "simhash-whole")
+        whole = whole.select(F.col("node").alias("component_id"), "component")
+        component = part.join(whole, "component_id", "left").select("same", F.coalesce("component", "component_id").alias("component_id"))
         component = stage(component.groupBy("same").agg(F.min("component_id").alias("component_id")), "simhash-named", keep=True)
-    return prints.join(component, "same", "left").select("doc_id", "component_id")
+    return prints.select("doc_id", "same").join(component, "same", "left").select("doc_id", "component_id")

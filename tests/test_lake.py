@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.model import DOCUMENT_SCHEMAS, RULES, TABLE_COMMENTS
 from ledgerlens.operators import comparison, rules, scoring
 from ledgerlens.operators.numbering import numbered
-from ledgerlens.session import fresh_path, shared_dir
+from ledgerlens.session import fresh_path, shared_dir, stage
 from ledgerlens.sources import bridge, lake
 from ledgerlens.streaming import incremental
 
@@ -197,3 +197,15 @@ def test_a_table_costs_only_what_it_is_derived_from(spark, tmp_path, monkeypatch
     assert {f.name.rsplit("-", 1)[0] for f in tmp_path.glob("ledgerlens/*/*")} == {"billed", "heads", "large-keys"}
     catalog.QUERIES["S1_erp_vendors"](spark, SF).count()
     assert [f.name for f in tmp_path.glob("ledgerlens/*/erp-csv-*/*")] == ["vendors.csv"]
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    def lying():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (str(files.apply(i).getName()) for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before = lying()
+    rows = spark.range(10000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    staged = stage(rows, "left-nothing")
+    assert lying() <= before and staged.count() == 7 and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
